@@ -44,15 +44,15 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Null text counts as empty; repeated rows stay."""
+    """(doc_id, row, fp): row is a hash of the text, fp the fingerprint as a signed long. Null text counts as empty; repeated rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, words) for t in b.column(1)), np.uint64, len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, words) for t in b.column(2)), np.uint64, len(b))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "row", "fp"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def masks(radius: int = RADIUS, seed: int = SEED) -> list[int]:
@@ -134,18 +134,19 @@ def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs: (doc_id, fingerprint, component_id).
+    """One row per row of docs: doc_id, fingerprint, component_id, kept, row.
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest doc_id reachable over links (radius or fewer differing
-    bits), the row's own included. Null and empty texts have fingerprint zero and link like any other. Rows with a null
-    doc_id take part; they get the smallest known doc_id of their component, or null if there is none. Other columns of docs
-    are not read. An empty table gives an empty result.
+    bits), the row's own included. kept: whether the row is its component's first by doc_id, nulls last, then row, a hash of the
+    text; rows equal in both are kept together. Null and empty texts have fingerprint zero and link like any other. Rows with a
+    null doc_id take part; a component without any known doc_id has a null component_id. Other columns of docs are not read. An
+    empty table gives an empty result.
     """
     own = cut(fingerprints(docs, id_col, text_col, words))
-    first = own.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(first.select("fp"), radius))
-    least = first.join(roots.withColumnRenamed("node", "fp"), "fp")
-    lowest = least.groupBy("root").agg(F.min("first_id").alias("low"))
-    named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").join(lowest, "root", "left")
-    named = named.select("fp", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("low")).alias("component_id"))
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = cut(own.groupBy("fp").agg(F.min(place).alias("first")))
+    roots = components(links(first.select("fp"), radius)).withColumnRenamed("node", "fp")
+    named = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = named.groupBy("root").agg(F.min("first").alias("low"))
+    named = named.join(lowest, "root").select("fp", "low")
+    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low.doc_id").alias("component_id"), (place == F.col("low")).alias("kept"), "row")
