@@ -1 +1,7 @@
+"""The registered queries, by the part of the engine they use."""
 
+from importlib import import_module
+
+MODULES = ("geo", "gen")
+for _name in MODULES:
+    import_module(f"{__name__}.{_name}")
