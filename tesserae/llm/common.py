@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.ship import ship
+
 #: ASCII white space separates words: 0x20 and 0x09 to 0x0D. bytes.split() splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,6 +30,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """df.mapInArrow, with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import WORD
+from tesserae.llm.common import WORD, in_arrow
 
 WORDS = 5
 LEAST = 0.8
@@ -124,7 +124,7 @@ def _held(docs: DataFrame, items: DataFrame, words: int, least: float) -> DataFr
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return in_arrow(docs, run, _SCHEMA)
 
 
 def _joined(docs: DataFrame, items: DataFrame, words: int, least: float) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, cut, parts
+from tesserae.llm.common import components, cut, in_arrow, parts
 from tesserae.llm.simhash import _runs
 
 COSINE = 0.93
@@ -84,7 +84,7 @@ def _dealt(classes: DataFrame, cosine: float, block: int, grid: int) -> DataFram
                             ["grp", "blk", "cell", "home", "id", "mult", "vec"],
                         )
 
-    return classes.select("id", "grp", "mult", "v", F.size("v").alias("dim")).mapInArrow(run, "grp long, blk int, cell long, home boolean, id string, mult long, vec binary")
+    return in_arrow(classes.select("id", "grp", "mult", "v", F.size("v").alias("dim")), run, "grp long, blk int, cell long, home boolean, id string, mult long, vec binary")
 
 
 def _compared(ids: np.ndarray, mult: np.ndarray, home: np.ndarray, part: np.ndarray, both: bool, w: np.ndarray, blk: int, cosine: float, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +163,7 @@ def near_links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK, g
                 if len(who):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[who], pa.string()), pa.array(ids[root], pa.string()), pa.array(n.astype(np.int64))], ["id", "root", "n"])
 
-    return dealt.mapInArrow(run, "id string, root string, n long")
+    return in_arrow(dealt, run, "id string, root string, n long")
 
 
 def embedding_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, block: int = BLOCK, grid: int = GRID, chunk: int = CHUNK) -> DataFrame:

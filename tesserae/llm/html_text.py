@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import in_arrow
+
 WINDOW = 3
 #: A stretch beside the longest is kept if its highest window has this share of the longest one's.
 NEAR = 0.5
@@ -183,4 +185,4 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_arrow(own, run, "page_id long, url string, text string, n_chars long")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import in_arrow
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "national_id")
 
@@ -417,4 +419,4 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return in_arrow(rows, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

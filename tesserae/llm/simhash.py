@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, cut, parts
+from tesserae.llm.common import components, cut, in_arrow, parts
 
 RADIUS = 3
 WORDS = 3
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "row", "fp"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, row long, fp long")
+    return in_arrow(own, run, "doc_id long, row long, fp long")
 
 
 def masks(radius: int = RADIUS, seed: int = SEED) -> list[int]:
@@ -130,7 +130,7 @@ def links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame
                 a, b = (np.concatenate(x).view(np.int64) for x in zip(*got))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return in_arrow(dealt, run, "a long, b long").distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
