@@ -2,6 +2,6 @@
 
 from importlib import import_module
 
-MODULES = ("geo", "gen", "join", "fsm", "agg")
+MODULES = ("geo", "gen", "join", "fsm", "agg", "win")
 for _name in MODULES:
     import_module(f"{__name__}.{_name}")
