@@ -10,7 +10,7 @@ from tesserae.functions import geo
 U32 = 4294967295
 # Backoff defaults in milliseconds, package type letters.
 FIRST_DELAY_MS, MOST_DELAY_MS, GROWTH = 100.0, 30_000.0, 2.0
-SORT_PREFIX = {"Z": "zzz", "Y": "yzz"}
+SORT_PREFIX = {"Z": "zz", "Y": "yz"}
 FOLDER = {"Z": "ortho", "Y": "overlay"}
 
 
@@ -145,9 +145,9 @@ def delay_ms(attempt: Column, attempts: int) -> Column:
     return F.when(attempt < attempts, F.least(F.lit(FIRST_DELAY_MS) * F.pow(F.lit(GROWTH), attempt - 1), F.lit(MOST_DELAY_MS)))
 
 
-def mountpoint(region: Column, kind: Column, tag: str = "XEL") -> Column:
+def mountpoint(region: Column, kind: Column, tag: str = "") -> Column:
     pick = lambda d: F.element_at(F.create_map(*(F.lit(x) for kv in d.items() for x in kv)), kind)
-    return F.concat(pick(SORT_PREFIX), F.lit(f"{tag}_"), F.lower(region), F.lit("_"), pick(FOLDER))
+    return F.concat(pick(SORT_PREFIX), F.lit(f"{tag}_" if tag else ""), F.lower(region), F.lit("_"), pick(FOLDER))
 
 
 def bumped(version: Column, part: str) -> Column:
