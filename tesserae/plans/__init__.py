@@ -2,6 +2,6 @@
 
 from importlib import import_module
 
-MODULES = ("geo", "gen", "join", "fsm", "agg", "win", "names", "px")
+MODULES = ("geo", "gen", "join", "fsm", "agg", "win", "names", "px", "stream")
 for _name in MODULES:
     import_module(f"{__name__}.{_name}")

@@ -24,8 +24,8 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(cte("tile_requests") + _NAMES + r""", g AS (SELECT seq, regexp_extract(name, '([0-9]+)_([0-9]+)_([A-Za-z]+[0-9]?)([0-9]{2})\.dds$', ['r', 'c', 'm', 'z']) AS g FROM f)
-SELECT seq, CASE WHEN g.r <> '' AND TRY_CAST(g.r AS HUGEINT) <= 4294967295 THEN CAST(g.r AS BIGINT) ELSE -1 END AS "row", CASE WHEN g.r <> '' AND TRY_CAST(g.r AS HUGEINT) <= 4294967295 THEN CAST(g.c AS BIGINT) ELSE -1 END AS col,
-CASE WHEN g.r <> '' AND TRY_CAST(g.r AS HUGEINT) <= 4294967295 THEN upper(g.m) ELSE '' END AS map_type, CASE WHEN g.r <> '' AND TRY_CAST(g.r AS HUGEINT) <= 4294967295 THEN CAST(g.z AS INT) ELSE -1 END AS zoom FROM g""")
+SELECT seq, CASE WHEN g.r <> '' AND TRY_CAST(g.r AS HUGEINT) <= 4294967295 THEN TRY_CAST(g.r AS BIGINT) ELSE -1 END AS "row", CASE WHEN g.r <> '' AND TRY_CAST(g.r AS HUGEINT) <= 4294967295 THEN TRY_CAST(g.c AS BIGINT) ELSE -1 END AS col,
+CASE WHEN g.r <> '' AND TRY_CAST(g.r AS HUGEINT) <= 4294967295 THEN upper(g.m) ELSE '' END AS map_type, CASE WHEN g.r <> '' AND TRY_CAST(g.r AS HUGEINT) <= 4294967295 THEN TRY_CAST(g.z AS INT) ELSE -1 END AS zoom FROM g""")
 def name_dds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texture names by pattern; -1 and empty where a name is none."""
     d = _names(spark, sf_dir).withColumn("t", text.dds_name(F.col("name")))
