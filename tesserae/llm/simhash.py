@@ -61,7 +61,7 @@ def masks(radius: int = RADIUS, seed: int = SEED) -> list[int]:
     own = rng.integers(1, 1 << (radius + 1), 64)  # non-zero, else a position would be in every mask
     out = []
     for v in range(1, 1 << (radius + 1)):
-        m = sum(1 << i for i in range(64) if bin(int(own[i]) & v).count("1") % 2 == 0)
+        m = sum(1 << i for i in range(64) if bin(int(own[i]) & v).count("1") % 2 == 1)
         out.append(m - (1 << 64) if m >> 63 else m)
     return out
 
