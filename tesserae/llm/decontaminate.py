@@ -42,9 +42,14 @@ def hashes(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """64-bit hashes of the same shingles, made from the words' hashes."""
     w = (text or b"").lower().split()
     own = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=1), w), np.uint64, len(w))
-    n = len(own) - words + 1
-    if n < 1:
+    if len(own) < words:
         return np.array([xxhash.xxh64_intdigest(b" ".join(w), seed=2)] if w else [], np.uint64)
+    return combined(own, words)
+
+
+def combined(own: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Hashes of all runs of so many words, from the words' hashes."""
+    n = max(0, len(own) - words + 1)
     h = own[:n] * np.uint64(_MULTIPLIERS[0])
     for i in range(1, words):
         h ^= own[i : i + n]
@@ -133,9 +138,10 @@ def _joined(docs: DataFrame, items: DataFrame, words: int, least: float) -> Data
     w = F.regexp_extract_all(low, F.lit(f"({WORD})"), F.lit(1))
     sh = F.when(F.size("w") >= words, F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.array_join(F.slice("w", i, words), " ")))
     sh = F.when(F.size("w") == 0, F.array().cast("array<string>")).otherwise(F.coalesce(sh, F.array(F.array_join("w", " "))))
-    split = lambda df: df.withColumn("w", w).withColumn("sh", F.array_distinct(sh)).drop("w", "text")
-    d = split(docs.withColumn("row", F.xxhash64("text"))).select("doc_id", "row", F.explode("sh").alias("s"))
-    i = split(items).withColumn("n_item", F.size("sh").cast("long")).where("n_item > 0")
+    # Inline one list of one element, so that the words are made once and not for every shingle.
+    split = lambda df, *keep: df.select(*keep, F.explode(F.array(w)).alias("w")).select(*keep, F.array_distinct(sh).alias("sh"))
+    d = split(docs.withColumn("row", F.xxhash64("text")), "doc_id", "row").select("doc_id", "row", F.explode("sh").alias("s"))
+    i = split(items, "item_id").withColumn("n_item", F.size("sh").cast("long")).where("n_item > 0")
     upper = F.lit(FIRST_SIZE) * F.pow(2, F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_item") / FIRST_SIZE) - 1e-9)))
     k = F.least(F.col("n_item"), F.floor(F.lit(1 - least) * upper + 1e-9) + 1).cast("int")
     ranked = F.slice(F.array_sort(F.transform("sh", lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))), 1, k)
