@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import decontaminate, mixing, quality, sharding, simhash
-from tesserae.llm.common import cut, table
+from tesserae.llm.common import cut, small, table
 
 #: Not SQL: language model scores, xxHash fingerprints and an edited slot map. The stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def _without(docs: DataFrame, bad: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of docs without a partner in bad, nulls compared as values."""
+    """Rows of docs without a partner in bad, nulls compared as values. Few bad ones go to every task, and texts stay where they are."""
     cond = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on]
-    return docs.alias("d").join(bad.select(*on).distinct().alias("b"), cond, "left_anti")
+    return docs.alias("d").join(small(cut(bad.select(*on).distinct())).alias("b"), cond, "left_anti")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     many = groups.where("kept").groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").select(*on)
     rows = docs.withColumn("_row", F.xxhash64("text"))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in on]
-    one = rows.alias("d").join(many.alias("m"), same, "left_semi").dropDuplicates(on)
+    one = rows.alias("d").join(small(cut(many)).alias("m"), same, "left_semi").dropDuplicates(on)
     return _without(rows, bad.unionByName(many), on).unionByName(one).select(*names)
 
 

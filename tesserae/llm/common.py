@@ -36,6 +36,15 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) ->
     return df.mapInArrow(run, schema)
 
 
+#: Rows of a narrow table that may go to every task; beyond, it is joined by a shuffle.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df with a broadcast hint if it is counted to have at most so many rows; df should be cut before."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
