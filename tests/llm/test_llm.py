@@ -466,6 +466,49 @@ def test_repeated_passages(spark):
     assert all(s <= 20 and e >= 80 for s, e in spans.values())
 
 
+def connected(rows):
+    """The components of the texts that passages() finds in pairs, all compared with all."""
+    ids = sorted(rows)
+    return plain_components(ids, lambda a, b: bool(substring.passages(rows[a].encode(), rows[b].encode())))
+
+
+def groups_found(spark, rows, **how):
+    d = spark.createDataFrame([(i, t) for i, t in rows.items()], "doc_id long, text string")
+    pairs = {(r.doc_id, r.other_id) for r in substring.repeated(d, **how).collect()}
+    return plain_components(sorted(rows), lambda a, b: (a, b) in pairs or (b, a) in pairs)
+
+
+def test_repeated_with_words_put_in_and_left_out(spark):
+    rng = random.Random(11)
+    some = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    rows = {}
+    for i in range(150):
+        whole = some(rng.choice([50, 60, 70, 76, 110]))
+        other = list(whole)
+        for at in (len(whole) // 2,) if len(whole) < 100 else (len(whole) // 3, 2 * len(whole) // 3):
+            other[at : at + i % 2] = [] if i % 2 else ["zz"]
+        for k, w in enumerate((whole, other)):
+            rows[2 * i + k] = " ".join(some(20) + w + some(20))
+    near = [i for i in range(150) if substring.passages(rows[2 * i].encode(), rows[2 * i + 1].encode())]
+    got = groups_found(spark, rows)
+    assert len(near) >= 100 and sum(got[2 * i] == got[2 * i + 1] for i in near) >= 0.97 * len(near)
+
+
+def test_repeated_in_large_groups(spark):
+    rng = random.Random(12)
+    some = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    line, rows = some(45), {}
+    for _ in range(60):
+        whole = line + some(35)
+        for other in (whole, whole[:50] + ["zz"] + whole[50:]):
+            rows[len(rows)] = " ".join(some(20) + other + some(20))
+    want = connected(rows)
+    assert len(set(want.values())) == 60
+    for chunk in (16, 256):
+        got = groups_found(spark, rows, chunk=chunk)
+        assert sum(got[i] == got[i + 1] for i in range(0, 120, 2)) >= 58 and all(want[i] == want[got[i]] for i in got)
+
+
 def test_repeated_odd(odd, none):
     got = substring.repeated(odd).collect()
     assert {(r.doc_id, r.other_id) for r in got} == {(5, 4)} and substring.repeated(none).count() == 0
