@@ -141,14 +141,14 @@ def _joined(docs: DataFrame, items: DataFrame, words: int, least: float) -> Data
     # Inline one list of one element, so that the words are made once and not for every shingle.
     split = lambda df, *keep: df.select(*keep, F.explode(F.array(w)).alias("w")).select(*keep, F.array_distinct(sh).alias("sh"))
     d = split(docs.withColumn("row", F.xxhash64("text")), "doc_id", "row").select("doc_id", "row", F.explode("sh").alias("s"))
-    i = split(items, "item_id").withColumn("n_item", F.size("sh").cast("long")).where("n_item > 0")
+    i = split(items.withColumn("item_row", F.xxhash64("text")).dropDuplicates(["item_id", "item_row"]), "item_id", "item_row").withColumn("n_item", F.size("sh").cast("long")).where("n_item > 0")
     upper = F.lit(FIRST_SIZE) * F.pow(2, F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_item") / FIRST_SIZE) - 1e-9)))
     k = F.least(F.col("n_item"), F.floor(F.lit(1 - least) * upper + 1e-9) + 1).cast("int")
     ranked = F.slice(F.array_sort(F.transform("sh", lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))), 1, k)
-    sketch = i.select("item_id", F.explode(ranked).alias("x")).select("item_id", F.col("x.s").alias("s"))
-    near = d.join(sketch, "s").select("doc_id", "row", "item_id").distinct()
-    held = d.join(i.select("item_id", "n_item", F.explode("sh").alias("s")), "s")
-    on = [near.doc_id.eqNullSafe(held.doc_id), near.row == held.row, near.item_id.eqNullSafe(held.item_id)]
-    n = held.join(near, on, "left_semi").groupBy("doc_id", "row", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
-    return n.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= F.lit(least) * F.col("n_item") - 1e-9).drop("row")
+    sketch = i.select("item_id", "item_row", F.explode(ranked).alias("x")).select("item_id", "item_row", F.col("x.s").alias("s"))
+    near = d.join(sketch, "s").select("doc_id", "row", "item_id", "item_row").distinct()
+    held = d.join(i.select("item_id", "item_row", "n_item", F.explode("sh").alias("s")), "s")
+    on = [near.doc_id.eqNullSafe(held.doc_id), near.row == held.row, near.item_id.eqNullSafe(held.item_id), near.item_row == held.item_row]
+    n = held.join(near, on, "left_semi").groupBy("doc_id", "row", "item_id", "item_row", "n_item").agg(F.count_distinct("s").alias("n_shared"))
+    return n.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= F.lit(least) * F.col("n_item") - 1e-9).drop("row", "item_row")
 

@@ -129,6 +129,16 @@ def test_decontamination_odd(spark, odd, none):
     assert decontaminate.contaminated(none, b).count() == 0 and decontaminate.contaminated(odd, b.where("false")).count() == 0
 
 
+def test_decontamination_of_repeated_rows(spark):
+    w = [f"w{i}" for i in range(54)]
+    rows = [(1, " ".join(w[:24])), (1, " ".join(w[:24])), (2, " ".join(w[:50])), (2, " ".join(w[:50])), (None, " ".join(w)), (None, " ".join(w))]
+    items = [(1, " ".join(w)), (1, " ".join(w)), (2, " ".join(w)), (2, " ".join(reversed(w)))]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, two = (sorted(map(repr, decontaminate.contaminated(d, b, bound=n).collect())) for n in (decontaminate.BROADCAST_BYTES, 0))
+    assert one == two and len(one) == 4
+    assert {(r.doc_id, r.n_shared) for r in decontaminate.contaminated(d, b, bound=0).collect()} == {(2, 46), (None, 50)}
+
+
 # --- 2 mixing ----------------------------------------------------------------------------------------------------------------------------
 
 
