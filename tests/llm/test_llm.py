@@ -421,6 +421,12 @@ def test_quality_odd(spark, odd, none):
     assert len(bare) == odd.count() and all(r.kept for r in bare)
 
 
+def test_quality_of_repeated_rows(spark, odd):
+    la = spark.createDataFrame([(4, 1, 0), (8, 1, None), (6, 0, 0), (None, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    one, two = (sorted((str(r.doc_id), str(r.lang), r.row, r.n, round(r.perplexity, 6), r.kept) for r in quality.scored(odd, la, bound=n).collect()) for n in (quality.BROADCAST_BYTES, 0))
+    assert one == two and len(one) == odd.count()
+
+
 # --- 1 substrings ------------------------------------------------------------------------------------------------------------------------
 
 
