@@ -421,6 +421,18 @@ def test_quality_odd(spark, odd, none):
     assert len(bare) == odd.count() and all(r.kept for r in bare)
 
 
+def test_quality_rejects_toxic_documents(spark):
+    rng = random.Random(4)
+    bad = ["rotter", "blighter", "wretch", "scoundrel"]
+    some = lambda: " ".join(rng.choice(["the", "river", "over", "stone", "and", "under", "walks", "light"]) for _ in range(rng.randint(30, 80)))
+    rows = [(i, f"{some()} {rng.choice(bad).title()}, {some()} {rng.choice(bad)}!" if i % 8 == 0 else some(), "en") for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    la = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    for bound in (quality.BROADCAST_BYTES, 0):
+        kept = {r.doc_id: r.kept for r in quality.scored(d, la, bound=bound).collect()}
+        assert not any(kept[i] for i in kept if i % 8 == 0) and all(kept[i] for i in kept if i % 8)
+
+
 def test_quality_of_repeated_rows(spark, odd):
     la = spark.createDataFrame([(4, 1, 0), (8, 1, None), (6, 0, 0), (None, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
     one, two = (sorted((str(r.doc_id), str(r.lang), r.row, r.n, round(r.perplexity, 6), r.kept) for r in quality.scored(odd, la, bound=n).collect()) for n in (quality.BROADCAST_BYTES, 0))
