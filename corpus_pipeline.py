@@ -43,7 +43,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), ["doc_id"])
+    names = docs.columns
+    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), rows=True).withColumnRenamed("row", "_row")
+    return _without(docs.withColumn("_row", F.xxhash64("text")), bad, ["doc_id", "_row"]).select(*names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

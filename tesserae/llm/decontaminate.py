@@ -27,7 +27,7 @@ BROADCAST_BYTES = 32 << 20
 #: Upper bounds of the size partitions double from here.
 FIRST_SIZE = 8
 _MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]  # odd, fixed
-_SCHEMA = "doc_id long, item_id long, n_item long, n_shared long, containment double"
+_SCHEMA = "doc_id long, row long, item_id long, n_item long, n_shared long, containment double"
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> list[bytes]:
@@ -101,19 +101,21 @@ class Searcher:
         return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, least: float = LEAST, bound: int = BROADCAST_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, least: float = LEAST, bound: int = BROADCAST_BYTES, rows: bool = False) -> DataFrame:
     """One row per document and test item of which the document holds a share of `least` or more of the distinct shingles.
 
     docs: doc_id, text; items: item_id, text; other columns are not read. Returns doc_id, item_id, n_item (distinct shingles of
     the item), n_shared (of those in the document), containment. Null and empty texts match nothing; an item of fewer words
     than a shingle matches a document of the same words only. Repeated rows give one row (with the largest share); items of equal
-    text are all reported; null ids are kept as they are. Empty tables give an empty result.
+    text are all reported; null ids are kept as they are. Empty tables give an empty result. With `rows`, documents of one id and
+    different texts are told apart by the column row, a hash of the text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").where("text is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     found = _held(docs, items, words, least) if size <= bound else _joined(docs, items, words, least)
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_shared", "n_item")).alias("m")).select("doc_id", "item_id", "m.n_item", "m.n_shared", "m.containment")
+    ids = ["doc_id", "row", "item_id"] if rows else ["doc_id", "item_id"]
+    return found.groupBy(*ids).agg(F.max(F.struct("containment", "n_shared", "n_item")).alias("m")).select(*ids, "m.n_item", "m.n_shared", "m.containment")
 
 
 def _held(docs: DataFrame, items: DataFrame, words: int, least: float) -> DataFrame:
@@ -125,9 +127,9 @@ def _held(docs: DataFrame, items: DataFrame, words: int, least: float) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = made.get("s") or made.setdefault("s", Searcher(own.value, words, least))
         for b in batches:
-            rows = [(d, i, n, k, k / n) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for i, n, k in search.find(t.as_buffer().to_pybytes() if t.is_valid else None)]
+            rows = [(d, r, i, n, k, k / n) for d, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)) for i, n, k in search.find(t.as_buffer().to_pybytes() if t.is_valid else None)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "row", "item_id", "n_item", "n_shared", "containment"])
 
     return in_arrow(docs, run, _SCHEMA)
 
@@ -140,7 +142,7 @@ def _joined(docs: DataFrame, items: DataFrame, words: int, least: float) -> Data
     sh = F.when(F.size("w") == 0, F.array().cast("array<string>")).otherwise(F.coalesce(sh, F.array(F.array_join("w", " "))))
     # Inline one list of one element, so that the words are made once and not for every shingle.
     split = lambda df, *keep: df.select(*keep, F.explode(F.array(w)).alias("w")).select(*keep, F.array_distinct(sh).alias("sh"))
-    d = split(docs.withColumn("row", F.xxhash64("text")), "doc_id", "row").select("doc_id", "row", F.explode("sh").alias("s"))
+    d = split(docs, "doc_id", "row").select("doc_id", "row", F.explode("sh").alias("s"))
     i = split(items.withColumn("item_row", F.xxhash64("text")).dropDuplicates(["item_id", "item_row"]), "item_id", "item_row").withColumn("n_item", F.size("sh").cast("long")).where("n_item > 0")
     upper = F.lit(FIRST_SIZE) * F.pow(2, F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_item") / FIRST_SIZE) - 1e-9)))
     k = F.least(F.col("n_item"), F.floor(F.lit(1 - least) * upper + 1e-9) + 1).cast("int")
@@ -150,5 +152,5 @@ def _joined(docs: DataFrame, items: DataFrame, words: int, least: float) -> Data
     held = d.join(i.select("item_id", "item_row", "n_item", F.explode("sh").alias("s")), "s")
     on = [near.doc_id.eqNullSafe(held.doc_id), near.row == held.row, near.item_id.eqNullSafe(held.item_id), near.item_row == held.item_row]
     n = held.join(near, on, "left_semi").groupBy("doc_id", "row", "item_id", "item_row", "n_item").agg(F.count_distinct("s").alias("n_shared"))
-    return n.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= F.lit(least) * F.col("n_item") - 1e-9).drop("row", "item_row")
+    return n.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("n_shared") >= F.lit(least) * F.col("n_item") - 1e-9).drop("item_row")
 

@@ -566,6 +566,16 @@ def test_stages(spark, sf):
         docs = out
 
 
+def test_decontamination_stage_takes_rows_not_ids(spark, sf):
+    import corpus_pipeline as p
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("size(split(text, ' ')) > 20").first().text
+    rows = [(None, item), (None, "a clean text without any id at all"), (1, "before " + item), (1, "another clean text of the same id"), (2, "a third text")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in p.drop_contaminated(spark, d, sf).collect()}
+    assert got == {r for r in rows if item not in r[1]}
+
+
 def test_stages_odd(spark, sf, odd, none):
     import corpus_pipeline as p
 
