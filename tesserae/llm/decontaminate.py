@@ -10,7 +10,6 @@ length of a document does not thin out its sketch. Candidates are verified on th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ def shingles(text: bytes | None, words: int = WORDS) -> list[bytes]:
 def hashes(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """64-bit hashes of the same shingles, made from the words' hashes."""
     w = (text or b"").lower().split()
-    own = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=1), w), np.uint64, len(w))
+    own = np.frombuffer(b"".join(map(xxhash.xxh64_digest, w)), ">u8").astype(np.uint64)
     if len(own) < words:
         return np.array([xxhash.xxh64_intdigest(b" ".join(w), seed=2)] if w else [], np.uint64)
     return combined(own, words)

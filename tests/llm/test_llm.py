@@ -537,6 +537,52 @@ def test_repeated_in_large_groups(spark):
         assert sum(got[i] == got[i + 1] for i in range(0, 120, 2)) >= 58 and all(want[i] == want[got[i]] for i in got)
 
 
+def test_form_letters_end_without_pairs(spark):
+    rng = random.Random(13)
+    some = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    top, end = some(15), some(15)
+    rows = {i: " ".join(top + some(25) + end) for i in range(1000)}
+    line = some(44)
+    rows |= {1000 + i: " ".join(some(20) + line + some(20)) for i in range(700)}
+    rows[2000] = rows[1] + " and one more"
+    d = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert {(r.doc_id, r.other_id) for r in substring.repeated(d).collect()} in ({(1, 2000)}, {(2000, 1)})
+
+
+def test_no_run_is_missed():
+    """Passages of the least similarity share a run of least_run shingles; edits at random and evenly spaced ones, which leave the shortest runs."""
+    rng = random.Random(14)
+    t, shortest, near = 46, substring.least_run(46, 5, 0.8), 0
+    for k in range(1500):
+        n = rng.choice([50, 51, 60, 95, 100, 140, 230])
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b, e = list(a), rng.randint(1, 1 + n // 45)
+        for i in sorted((round((x + 1) * n / (e + 1)) for x in range(e)) if k % 2 else rng.sample(range(n), e), reverse=True):
+            b[i : i + rng.choice([0, 1])] = [] if rng.random() < 0.3 else ["zz"] * rng.choice([1, 1, 2])
+        if substring.passages(" ".join(a).encode(), " ".join(b).encode()):
+            near += 1
+            own = {tuple(a[i : i + shortest + 4]) for i in range(len(a) - shortest - 3)}
+            assert any(tuple(b[i : i + shortest + 4]) in own for i in range(len(b) - shortest - 3))
+    assert near > 500
+
+
+def test_repeated_equals_brute_force(spark):
+    """Every two texts with a passage in common are connected, families of copies of copies and hot lines among them."""
+    rng = random.Random(15)
+    some = lambda n: [f"w{rng.randrange(30_000)}" for _ in range(n)]
+    line, rows = some(30), {}
+    for _ in range(24):
+        kept = some(rng.choice([55, 90, 160]))
+        for _ in range(rng.randint(1, 9)):
+            for at in rng.sample(range(len(kept)), rng.randint(0, max(1, len(kept) // 40))):
+                kept = [*kept[:at], *(["zz"] if rng.random() < 0.5 else []), *kept[at + rng.randint(0, 1) :]]
+            rows[len(rows)] = " ".join(some(rng.randint(0, 30)) + kept + (line if rng.random() < 0.5 else []) + some(rng.randint(0, 30)))
+    rows |= {len(rows) + i: " ".join(line * rng.randint(1, 4) + some(60)) for i in range(40)}
+    want = connected(rows)
+    for chunk in (8, 256):
+        assert groups_found(spark, rows, chunk=chunk) == want
+
+
 def test_repeated_odd(odd, none):
     got = substring.repeated(odd).collect()
     assert {(r.doc_id, r.other_id) for r in got} == {(5, 4)} and substring.repeated(none).count() == 0
