@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.ship import ship
@@ -14,6 +14,19 @@ from tesserae.ship import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def pieces(texts, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of an Arrow array of texts of so many bytes together, one text at least."""
+    i, size = 0, 0
+    for j, x in enumerate(texts):
+        n = x.as_buffer().size if x.is_valid else 0
+        if j > i and size + n > most:
+            yield i, j
+            i, size = j, 0
+        size += n
+    if len(texts):
+        yield i, len(texts)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,18 +34,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the cluster's shared checkpoint folder and goes on from there.
 
-    The folder is the one in spark.checkpoint.dir; only where that is unset (local tests) a temporary one is made.
+    The folder is the one in spark.checkpoint.dir.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tesserae-checkpoint-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. On a local master, where all tasks are in this machine, a temporary folder does; on a cluster it must be set."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir")
+    if not where and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return where or tempfile.mkdtemp(prefix="tesserae-")
+
+
 def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """df.mapInArrow, with this package at hand in the workers."""
+    """df.mapInArrow, with this package at hand in the workers. A batch has 16 MB or so, and not only a number of rows: texts may be long."""
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
     return df.mapInArrow(run, schema)
 
 
@@ -45,6 +67,18 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered(df: DataFrame, by: list[str], name: str, salts: int = 64) -> DataFrame:
+    """The rows of df with the columns `by` alone, equal rows numbered from 0. Equal rows are counted, not brought together."""
+    n = df.select(*by, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).alias("_salt")).groupBy(*by, "_salt").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_salt")) - F.col("_n")
+    return n.withColumn("_before", before).select(*by, F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("_n") - 1)).alias(name))
+
+
+def whole(docs: DataFrame, **columns) -> DataFrame:
+    """Each row of docs as the struct doc, with the given columns beside it; names of docs cannot clash with them. select("doc.*") gives docs back."""
+    return docs.select(F.struct("*").alias("doc"), *[c.alias(k) for k, c in columns.items()])
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import WORD, cut
+from tesserae.llm.common import WORD, cut, whole
 
 WEIGHTS = (5, 2, 1)
 #: Budget as a share of all sizes, and the most often that any source (and so any document) is taken.
@@ -44,16 +44,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def schedule(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, ranges: int = RANGES) -> DataFrame:
-    """(doc_id, source, size, ...) to the same with source_size, target, before (words of the source ahead), finish and taken.
+    """(doc_id, source, size) to the same with source_size, target, before (words of the source ahead), finish and taken.
 
     The shuffled order is by a hash of doc_id and seed, then doc_id and size: the same in every run. taken: the words the mix takes of the
     document, over all repeats; the document at a source's target is taken in part, its first words. finish: virtual finish
-    time of the first copy, null where the target is 0. Documents without words take nothing.
+    time of the first copy, null where the target is 0. Documents without words take nothing. Rows equal in all three columns, those of a null
+    doc_id among them, are counted and numbered, so that no task holds them all.
     """
     bits = 52
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, bits // 4), 16, 10).cast("long")
-    own = cut(sized.withColumn("key", key).withColumn("range", F.floor(F.col("key") / F.lit((1 << bits) // ranges)).cast("int")))
-    per = own.groupBy("source", "range").agg(F.sum("size").alias("sum"))
+    own = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")).withColumn("key", key).withColumn("range", F.floor(F.col("key") / F.lit((1 << bits) // ranges)).cast("int")))
+    per = own.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("n")).alias("sum"))
     goal = targets(per.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share, repeats)
     in_source = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ahead = per.withColumn("ahead", F.coalesce(F.sum("sum").over(in_source), F.lit(0))).drop("sum")
@@ -61,11 +62,12 @@ def schedule(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     ahead = ahead.join(g, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("range").alias("r"), "ahead", "source_size", "target")
     rows = own.join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     in_range = Window.partitionBy("s", "r").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(in_range), F.lit(0)))
+    rows = rows.withColumn("first", F.col("ahead") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(in_range), F.lit(0)))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("before", F.col("first") + F.col("copy") * F.col("size"))
     goal_words = F.round("target").cast("long")
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), goal_words - F.col("before") - F.col("source_size") * e)) for e in range(repeats)), F.lit(0))
     finish = F.when(F.col("target") > 0, (F.col("before") + F.col("size")) / F.col("target"))
-    return rows.withColumn("taken", taken.cast("long")).withColumn("finish", finish).drop("s", "r", "key", "range", "ahead")
+    return rows.withColumn("taken", taken.cast("long")).withColumn("finish", finish).select("doc_id", "source", "size", "source_size", "target", "before", "finish", "taken")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -83,17 +85,14 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     Documents without words stay once. Rows are matched by doc_id, source and size, and repeated rows among them are given
     their copies one each.
     """
-    names = docs.columns
-    sized = docs.withColumn("_size", n_words(F.col("text")))
-    plan = schedule(sized.select("doc_id", "source", F.col("_size").alias("size")), **how)
-    whole = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), whole.alias("_copies"))
-    plan = plan.groupBy("_d", "_s", "_n").agg(F.sum("_copies").alias("_copies"), F.count("*").alias("_rows"))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n"))
-    kept = sized.join(plan.where("_copies > 0"), on)
-    once = kept.where("_rows = 1").select(*names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_e"))
-    rank = F.row_number().over(Window.partitionBy("_d", "_s", "_n").orderBy(F.xxhash64("text")))
-    many = kept.where("_rows > 1").withColumn("_k", rank)
-    share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_k") <= F.pmod("_copies", "_rows"), 1).otherwise(0)
-    many = many.withColumn("_c", share.cast("int")).where("_c > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_e"))
-    return once.unionByName(many).drop("_e")
+    sized = whole(docs, d=F.col("doc_id"), s=F.col("source"), n=n_words(F.col("text")), text=F.col("text"))
+    plan = schedule(sized.select(F.col("d").alias("doc_id"), F.col("s").alias("source"), F.col("n").alias("size")), **how)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("long")
+    plan = plan.groupBy("doc_id", "source", "size").agg(F.sum(times).alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    plan = plan.select(F.col("doc_id").alias("pd"), F.col("source").alias("ps"), F.col("size").alias("pn"), "copies", "rows")
+    kept = sized.join(plan, F.col("d").eqNullSafe(F.col("pd")) & F.col("s").eqNullSafe(F.col("ps")) & (F.col("n") == F.col("pn")))
+    # Rows equal in id, source and size, null ids among them, share the copies evenly, the first by text one more.
+    rank = F.row_number().over(Window.partitionBy("d", "s", "n").orderBy(F.xxhash64("text")))
+    once = kept.where("rows = 1").select("doc", F.col("copies").alias("c"))
+    many = kept.where("rows > 1").select("doc", (F.floor(F.col("copies") / F.col("rows")) + F.when(rank <= F.pmod("copies", "rows"), 1).otherwise(0)).alias("c"))
+    return once.unionByName(many.where("c > 0")).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c")))).select("doc.*")

@@ -7,13 +7,14 @@ until no move or swap brings the two nearer. Adding shards appends empty ones an
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, numbered, shared_folder, small, whole
 
 SLOTS = 4096
 SHARDS = 16
@@ -34,8 +35,9 @@ class SlotMap:
     def grown(self, by: int = 1) -> SlotMap:
         return replace(self, version=self.version + 1, shards=self.shards + by)
 
-    def rebalanced(self, weight: list[int], steps: int = 100_000) -> SlotMap:
-        """Moves or swaps slots between the heaviest and the lightest shard while that lowers the larger of the two."""
+    def rebalanced(self, weight: list[int]) -> SlotMap:
+        """Moves or swaps slots between the heaviest and the lightest shard while that lowers the larger of the two. As each step
+        lowers the sum of the squares of whole numbers, it ends."""
         of, load = list(self.shard_of), [0] * self.shards
         held: list[list[tuple[int, int]]] = [[] for _ in load]
         for s, w in enumerate(weight):
@@ -44,7 +46,7 @@ class SlotMap:
                 held[of[s]].append((w, s))
         for h in held:
             h.sort()
-        for _ in range(steps):
+        while True:
             a, b = max(range(self.shards), key=lambda k: (load[k], -k)), min(range(self.shards), key=lambda k: (load[k], k))
             gap = load[a] - load[b]
             if gap <= 1 or not held[a]:
@@ -97,10 +99,8 @@ def crc_of(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with size, text_crc32 and virtual_slot, which depends on the id and the text's checksum alone."""
-    d = docs.withColumns({"size": size_of(F.col(text_col)), "text_crc32": crc_of(F.col(text_col))})
-    return d.withColumn("virtual_slot", F.pmod(F.xxhash64(F.col(id_col), F.col("text_crc32")), F.lit(slots)).cast("int"))
+def slot_of(*columns: Column | str, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(slots)).cast("int")
 
 
 def slot_sums(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -111,33 +111,55 @@ def slot_sums(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]
     return size, count
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def edited(spark: SparkSession, size: list[int], shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> tuple[SlotMap, str]:
+    """The map for these bytes per slot, as read back from where it is stored: the uniform map, then its rebalanced version."""
+    path = path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    first = SlotMap.uniform(shards, slots)
+    first.save(spark, path)
+    first.rebalanced(size).save(spark, path)
+    return SlotMap.load(spark, path), path
+
+
+#: Rows equal in id and checksum are spread over slots of their own if there are more of them.
+REPEATS = 8
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """docs with size, text_crc32, virtual_slot, shard and map_version; texts are not shuffled.
 
-    Columns of docs that have one of these names are replaced.
+    Columns of docs that have one of these names are replaced. The slot depends on id and checksum; rows that repeat more than REPEATS times
+    are spread over as many slots as there are of them. The map is stored under path, by default in the shared folder.
     """
-    rows = slotted(docs.drop("size", "text_crc32", "virtual_slot", "shard", "map_version"), slots)
-    m = SlotMap.uniform(shards, slots).rebalanced(slot_sums(rows, slots)[0])
+    names = ["size", "text_crc32", "virtual_slot", "shard", "map_version"]
+    rows = whole(docs.drop(*names), id=F.col("doc_id"), size=size_of(F.col("text")), text_crc32=crc_of(F.col("text")))
+    often = cut(rows.groupBy("id", "text_crc32").agg(F.count("*").alias("times")).where(F.col("times") > REPEATS).select(F.col("id").alias("i"), F.col("text_crc32").alias("c"), "times"))
+    rows = rows.join(small(often), F.col("id").eqNullSafe(F.col("i")) & (F.col("text_crc32") == F.col("c")), "left")
+    spread = slot_of("id", "text_crc32", F.pmod(F.monotonically_increasing_id(), F.col("times")), slots=slots)
+    rows = rows.withColumn("virtual_slot", F.when(F.col("times").isNull(), slot_of("id", "text_crc32", slots=slots)).otherwise(spread))
+    m, _ = edited(docs.sparkSession, slot_sums(rows, slots)[0], shards, slots, path)
     of = F.element_at(F.array(*map(F.lit, m.shard_of)), F.col("virtual_slot") + 1)
-    return rows.withColumns({"shard": of.cast("int"), "map_version": F.lit(m.version)})
+    return rows.select("doc.*", "size", "text_crc32", "virtual_slot", of.cast("int").alias("shard"), F.lit(m.version).alias("map_version"))
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
-    The law is `bytes`: sums of size per shard are near equal, after one rebalancing of the uniform map. slot: the row's
-    place in its shard, gapless from 0, by virtual slot, then doc_id, checksum and size. Null ids and texts are placed like
+    The law is `bytes`: sums of size per shard are near equal, after one rebalancing of the uniform map, which is stored under path (by default in
+    the shared folder) and read from there. slot: the row's place in its shard, gapless from 0, by virtual slot, then doc_id, checksum and size.
+    Rows equal in these three are numbered, and each has a slot by its number. Null ids and texts are placed like
     any other. An empty table gives an empty result.
     """
-    rows = cut(slotted(docs.select("doc_id", "text"), slots).drop("text"))
+    spark, own = docs.sparkSession, ["doc_id", "size", "text_crc32"]
+    rows = numbered(docs.select("doc_id", size_of(F.col("text")).alias("size"), crc_of(F.col("text")).alias("text_crc32")), own, "copy")
+    rows = cut(rows.withColumn("virtual_slot", F.when(F.col("copy") == 0, slot_of("doc_id", "text_crc32", slots=slots)).otherwise(slot_of(*own[::2], "copy", slots=slots))))
     size, count = slot_sums(rows, slots)
-    m = SlotMap.uniform(shards, slots).rebalanced(size)
+    m, path = edited(spark, size, shards, slots, path)
     at, offset = [0] * shards, []
     for s, k in enumerate(m.shard_of):
         offset.append(at[k])
         at[k] += count[s]
-    spark = docs.sparkSession
-    own = spark.createDataFrame([(s, k, offset[s]) for s, k in enumerate(m.shard_of)], "virtual_slot int, shard int, offset long")
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
-    out = rows.withColumn("rank", rank).join(F.broadcast(own), "virtual_slot")  # as many rows as slots, a fixed number
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(m.version).alias("map_version"))
+    first = spark.createDataFrame(list(enumerate(offset)), "virtual_slot int, offset long")
+    stored = spark.read.parquet(path).where(F.col("version") == m.version).select("virtual_slot", "shard").join(first, "virtual_slot")
+    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(*own))
+    out = rows.withColumn("rank", rank).join(F.broadcast(stored), "virtual_slot")  # as many rows as slots, a fixed number
+    return out.select(*own, F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(m.version).alias("map_version"))

@@ -355,7 +355,7 @@ def plain_model(words, order):
     """Interpolated modified Kneser-Ney by the book, over dictionaries."""
     c = Counter()
     for w, k in words.items():
-        g, _ = quality.grams([w], order)
+        g, _ = quality.grams([w.encode()], order)
         for x in g.tolist():
             c[x] += k
     levels = []
@@ -370,19 +370,19 @@ def plain_model(words, order):
             d.append(x if 0.05 <= x <= i - 0.05 else i * 0.5)
         total, kept = Counter(), Counter()
         for g, v in c.items():
-            total[g >> 12] += v
-            kept[g >> 12] += d[min(v, 3) - 1]
+            total[g >> 8] += v
+            kept[g >> 8] += d[min(v, 3) - 1]
         levels.append((k, dict(c), d, total, kept))
-        c = Counter(g & ((1 << 12 * (k - 1)) - 1) for g in c)
+        c = Counter(g & ((1 << 8 * (k - 1)) - 1) for g in c)
 
     def p(g):
         out, weight = 0.0, 1.0
         for k, c, d, total, kept in levels:
-            x = g & ((1 << 12 * k) - 1)
+            x = g & ((1 << 8 * k) - 1)
             if x in c:
-                out += weight * (c[x] - d[min(c[x], 3) - 1]) / total[x >> 12]
-            if x >> 12 in total:
-                weight *= kept[x >> 12] / total[x >> 12]
+                out += weight * (c[x] - d[min(c[x], 3) - 1]) / total[x >> 8]
+            if x >> 8 in total:
+                weight *= kept[x >> 8] / total[x >> 8]
         return out + weight / quality.VOCABULARY
 
     return p
@@ -393,10 +393,10 @@ def test_model_equals_the_book(spark):
     d = spark.createDataFrame([("en", " ".join(words.elements()))], "lang string, text string")
     m = quality.Model.of(quality.estimates(quality.gram_counts(d)).toArrow())
     p = plain_model(words, quality.ORDER)
-    g, _ = quality.grams(["the", "thing", "zebra", "o", "ÄÖ😀"])
+    g, _ = quality.grams([x.encode() for x in ("the", "thing", "zebra", "o", "ÄÖ😀")])
     assert np.allclose(np.exp(m.log_p("en", g)), [p(x) for x in g.tolist()])
     # All next symbols of a history together have probability one.
-    every = (int(g[2]) >> 12 << 12) + np.arange(quality.VOCABULARY)
+    every = (int(g[2]) >> 8 << 8) + np.arange(quality.VOCABULARY)
     assert abs(np.exp(m.log_p("en", every)).sum() - 1) < 1e-9
 
 
@@ -460,9 +460,19 @@ def test_compact_windows():
     rng = np.random.default_rng(0)
     for n in (0, 1, 45, 46, 47, 300):
         for high in (3, 1 << 20):
-            for t in (1, 2, 46):
+            for t in (1, 2, 21, 46):
                 v = rng.integers(0, high, n).astype(np.uint64) << np.uint64(40)
-                assert sorted(substring.compact_windows(v, t)) == plain_windows(v, t)
+                want = sorted((s, c) for c, left, right in plain_windows(v, t) for s in range(max(left, c - t + 1), min(c, right - t + 1) + 1))
+                assert list(enumerate(substring.compact_windows(v, t).tolist())) == want
+
+
+def test_word_hashes():
+    texts = ["a b  a\tä\n", "", " ", "x" * 3000 + " a", "ab a b"]
+    h, start = substring.word_hashes("\n".join(texts).encode())
+    words = "\n".join(texts).encode().split()
+    assert len(h) == len(words) and len(set(h.tolist())) == len(set(words)) and all((h[i] == h[j]) == (words[i] == words[j]) for i in range(len(h)) for j in range(len(h)))
+    many = [f"w{i}".encode() for i in range(200_000)]
+    assert len(set(substring.word_hashes(b" ".join(many))[0].tolist())) == len(many)
 
 
 def test_repeated_passages(spark):
@@ -622,6 +632,48 @@ def test_decontamination_stage_takes_rows_not_ids(spark, sf):
     assert got == {r for r in rows if item not in r[1]}
 
 
+def test_sharding_of_repeated_rows(spark):
+    d = spark.createDataFrame([(7, "x" * 99)] * 1000 + [(i, "y" * 99) for i in range(1000)], "doc_id long, text string")
+    for out in (sharding.sharded(d), sharding.assign(d)):
+        load, places = Counter(), defaultdict(list)
+        for r in out.collect():
+            load[r.shard] += r.size
+            places[r.shard].append(getattr(r, "slot", None))
+        assert len(load) == 16 and sum(load.values()) == 200_000 and max(load.values()) <= 1.02 * min(load.values())
+    assert all(sorted(p) == list(range(len(p))) for p in (lambda g: [[r.slot for r in g if r.shard == k] for k in range(16)])(sharding.sharded(d).collect()))
+
+
+def test_slot_map_is_stored_by_the_operator(spark, tmp_path):
+    d = spark.createDataFrame([(i, "y" * (i % 50)) for i in range(500)], "doc_id long, text string")
+    got = {r.virtual_slot: (r.shard, r.map_version) for r in sharding.sharded(d, path=str(tmp_path / "m")).collect()}
+    m = sharding.SlotMap.load(spark, str(tmp_path / "m"))
+    assert all((m.shard_of[k], m.version) == v for k, v in got.items())
+
+
+def test_mixing_of_repeated_rows(spark):
+    d = spark.createDataFrame([(None, "a b c", "s")] * 500 + [(1, "a b c", "s")] * 300 + [(i, "w " * (i % 40), "t") for i in range(200)], "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    assert len(got) == 1000 and sum(r.doc_id is None for r in got) == 500 and all(0 <= r.taken <= 2 * r.size for r in got)
+    for s, rows in (("s", [r for r in got if r.doc_id in (None,)]), ("t", [r for r in got if r.doc_id is not None and r.doc_id > 1])):
+        assert rows
+    target = {r.source_size: r.target for r in got}
+    taken = Counter()
+    for r in got:
+        taken[r.source_size] += r.taken
+    assert all(abs(taken[k] - target[k]) <= 1 for k in target)
+    assert mixing.mixed(d).count() == sum(round(r.taken / r.size) if r.size else 1 for r in got)
+
+
+def test_stages_with_clashing_names(spark, sf):
+    import corpus_pipeline as p
+
+    names = ["_row", "_size", "_s", "_d", "_e", "_copies", "_n", "doc", "id", "row", "i", "r", "d", "s", "n", "c", "copies", "rows", "times", "pd"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).withColumns({c: F.lit(f"own {c}") for c in names})
+    for _, f in p.STAGES:
+        out = f(spark, docs, sf)
+        assert out.columns[: len(docs.columns)] == docs.columns and all(all(r[c] == f"own {c}" for c in names) for r in out.collect())
+
+
 def test_stages_odd(spark, sf, odd, none):
     import corpus_pipeline as p
 
