@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,42 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import decontaminate, mixing, quality, sharding, simhash
-from tesserae.llm.common import cut, small, table
+from tesserae.llm.common import cut, shared_folder, small, table, whole
 
 #: Not SQL: language model scores, xxHash fingerprints and an edited slot map. The stages are tested against brute force.
 ORACLE_SQL = None
+ROW = ["id", "row"]
 
 
-def _without(docs: DataFrame, bad: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of docs without a partner in bad, nulls compared as values. Few bad ones go to every task, and texts stay where they are."""
-    cond = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on]
-    return docs.alias("d").join(small(cut(bad.select(*on).distinct())).alias("b"), cond, "left_anti")
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each document as a struct, with its doc_id and the hash of its text that the operators name it by."""
+    return whole(docs, id=F.col("doc_id").cast("long"), row=F.xxhash64(F.col("text").cast("string")))
+
+
+def _join(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join by id and row, nulls compared as values. Few go to every task, and texts stay where they are."""
+    named = small(cut(named.select(F.col("doc_id").alias("i"), F.col("row").alias("r")).distinct()))
+    return rows.join(named, F.col("id").eqNullSafe(F.col("i")) & F.col("row").eqNullSafe(F.col("r")), how)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    names = docs.columns
-    bad = quality.scored(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id", F.col("row").alias("_row"))
-    return _without(docs.withColumn("_row", F.xxhash64("text")), bad, ["doc_id", "_row"]).select(*names)
+    bad = quality.scored(docs, table(spark, sf_dir, "labels")).where("not kept")
+    return _join(_rows(docs), bad, "left_anti").select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays, that of the smallest doc_id."""
-    names, on = docs.columns, ["doc_id", "_row"]
-    groups = cut(simhash.simhash_groups(docs).withColumnRenamed("row", "_row"))
-    bad = groups.where("not kept").select(*on)
-    many = groups.where("kept").groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").select(*on)
-    rows = docs.withColumn("_row", F.xxhash64("text"))
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in on]
-    one = rows.alias("d").join(small(cut(many)).alias("m"), same, "left_semi").dropDuplicates(on)
-    return _without(rows, bad.unionByName(many), on).unionByName(one).select(*names)
+    groups = cut(simhash.simhash_groups(docs))
+    many = cut(groups.where("kept").groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1"))
+    one = _join(_rows(docs), many, "left_semi").dropDuplicates(ROW)
+    return _join(_rows(docs), groups.where("not kept").select("doc_id", "row").unionByName(many.select("doc_id", "row")), "left_anti").unionByName(one).select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    names = docs.columns
-    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), rows=True).withColumnRenamed("row", "_row")
-    return _without(docs.withColumn("_row", F.xxhash64("text")), bad, ["doc_id", "_row"]).select(*names)
+    bad = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), rows=True)
+    return _join(_rows(docs), bad, "left_anti").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,10 +67,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage returns is written to the shared folder and read again."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tesserae-pipeline-")
-    at, docs = f"{top}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage returns is written to the shared folder and read again; once the next stage's is written, it goes."""
+    at, docs, last = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if last:
+            _delete(spark, f"{at}/{last}")
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
