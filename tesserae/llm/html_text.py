@@ -1,32 +1,41 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element. Lines of parts that are never the article (menus, page headers and footers,
-sidebars, notices, adverts, forms, scripts, reader comments) and lines that are mostly links keep their place but have no length. Over the
-lines' lengths slide windows of three: the text surges where a window first has length again after an empty one, and
-dives where windows are empty. Between a surge and the next dive lies a stretch of text; empty lines stand at the borders of sections, so
-stretches end there. The article element's stretches are the main text if there is one, otherwise the longest stretch and those whose
-highest window comes near to its own. A stretch is kept whole, short lines included.
+Markup is stripped into lines: every block tag ends one, so that tags without text between them leave empty lines, and texts of different
+containers lie further apart than those of one. Lines of parts that are never the article (menus, page headers and footers,
+sidebars, adverts' elements, forms, scripts) and lines that are mostly links keep their place but have no length. Over the
+lines' lengths slide windows of three: the text surges where a window first has length again after an empty one, and dives where windows
+are empty. Between a surge and the next dive lies a stretch of text. The article element's stretches are the main text if there is
+one; otherwise the longest stretch, those whose highest window comes near to its own, and headings right before them. A stretch is kept
+whole, short lines included.
+
+Class and id words (an advert, a sidebar, readers' comments) only lower a block's weight: its lines have no length at first, and have
+it after all where the rest of the page has next to nothing.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import in_arrow
+from tesserae.llm.common import in_arrow, pieces
 
 WINDOW = 3
 #: A stretch beside the longest is kept if its highest window has this share of the longest one's.
 NEAR = 0.5
+#: Marked blocks are text after all where the rest has less than this share of theirs.
+REST = 0.2
 
 # Element names and class words.
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea select option title head xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Words that may stand beside a class word in a name of several.
+BESIDE = frozenset("area bar block box button buttons container content form group header inner item items left link links list main outer panel post right section slot top bottom unit wrap wrapper".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -42,41 +51,61 @@ OUT_CLASSES = frozenset(
 )
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_WORD = re.compile(r"[a-z]+|[^a-z\s_-]+")
+
+
+def _judged(name: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """(never the article, marked by its class or id, marked as the main part)."""
+    out = name in OUT or name == "header" and not in_article
+    marked = main = False
+    if attrs and name not in ("body", "html", "main", "article") and name not in HEADING:
+        for m in _ATTR.finditer(attrs):
+            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if key == "role":
+                out, main = out or value in OUT_ROLES, value == "main"
+            elif key == "hidden" or key == "aria-hidden" and value == "true":
+                out = True
+            elif key in ("class", "id"):
+                marked = marked or any(_class(w) for w in value.split())
+    return out, marked, main
+
+
+def _class(word: str) -> bool:
+    """Whether a class or id word names a part that is not the article: itself, or with words beside it that say nothing else."""
+    if word in OUT_CLASSES:
+        return True
+    parts = [x for x in _WORD.findall(word) if x.isalpha()]
+    return any(x in OUT_CLASSES for x in parts) and all(x in OUT_CLASSES or x in BESIDE for x in parts)
 
 
-def _out(name: str, attrs: str, in_article: bool) -> bool:
-    if name in OUT or name == "header" and not in_article:
-        return True
-    if not attrs or name in ("body", "html", "main", "article") or name in HEADING:
-        return False
-    for m in _ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "role" and value in OUT_ROLES or key == "aria-hidden" and value == "true" or key == "hidden":
-            return True
-        if key in ("class", "id") and any(w in OUT_CLASSES or w.split("-")[0] in OUT_CLASSES or w.split("_")[0] in OUT_CLASSES for w in value.split()):
-            return True
-    return False
-
-
-def lines_of(page: str) -> Iterator[tuple[str, int, bool]]:
-    """(text, length that counts, within an article) of each line; ("", 0, False) at the borders of sections."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, its text is out, it is an article, it is a link
+Line = tuple[str, int, bool, bool, bool]
+
+
+def lines_of(page: str) -> Iterator[Line]:
+    """(text, length that counts, within an article, marked, a heading) of each line; text is empty between blocks and at the borders of sections."""
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, its text is out, it is an article, it is a link, it is marked
+    opened: Counter[str] = Counter()
     words: list[tuple[str, bool]] = []
     at, n = 0, len(page)
     low = ""
 
-    def line() -> tuple[str, int, bool]:
+    def line() -> Line:
         text = " ".join("".join(t for t, _ in words).split())
         linked = sum(len(t) for t, a in words if a)
-        out, article = bool(stack and stack[-1][1]), bool(stack and stack[-1][2])
+        out, article, marked = (stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (False, False, False)
         words.clear()
-        return text, 0 if out or not article and linked * 2 > len(text) else len(text), article
+        return text, 0 if out or not article and linked * 2 > len(text) else len(text), article, marked, bool(stack and stack[-1][0] in HEADING)
 
     def add(text: str) -> None:
         if text and not (stack and stack[-1][1]):
             words.append((html.unescape(text), bool(stack and stack[-1][3])))
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -103,76 +132,66 @@ def lines_of(page: str) -> Iterator[tuple[str, int, bool]]:
         if name in BLOCK:
             yield line()
             if name in SECTION:
-                yield from [("", 0, False)] * WINDOW
+                yield from [("", 0, False, False, False)] * WINDOW
         elif name == "br":
             words.append((" ", False))
         if name in VOID:
             continue
         if closing:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+            if opened[name]:
+                while pop() != name:
                     pass
         elif not attrs.endswith("/"):
-            out, article, link = stack[-1][1:] if stack else (False, False, False)
             if name in ("p", "li", "tr", "td", "dt", "dd") and stack and stack[-1][0] == name:
-                stack.pop()
-                out, article, link = stack[-1][1:] if stack else (False, False, False)
-            in_header = any(s[0] == "header" for s in stack)
-            out = out or _out(name, attrs, article)
-            if article and (name == "header" or in_header):
-                out = out or name in BLOCK and name not in HEADING and name not in ("header", "hgroup", "div")
-            stack.append((name, out, article or name in ("article", "main") and not out or 'role="main"' in attrs, link or name == "a"))
+                pop()
+            out, article, link, marked = stack[-1][1:] if stack else (False, False, False, False)
+            own_out, own_marked, main = _judged(name, attrs, article)
+            out = out or own_out
+            stack.append((name, out, article or (name in ("article", "main") or main) and not out, link or name == "a", marked or own_marked))
+            opened[name] += 1
     yield line()
 
 
-def stretches(lines: list[tuple[str, int, bool]]) -> list[tuple[list[str], int, int, bool]]:
-    """(texts, total length, highest window, within an article) between each surge and dive."""
-    out, texts, sizes, inside = [], [], [], False
+def stretches(lines: list[Line], marked: bool = False) -> list[tuple[list[str], int, int, bool, bool]]:
+    """(texts, total length, highest window, within an article, headings alone) between each surge and dive; marked lines have a length if `marked`."""
+    out, texts, sizes, inside, titles = [], [], [], False, True
     empty = 0
-    for text, size, article in [*lines, *[("", 0, False)] * WINDOW]:
-        if size:
+    for text, size, article, low, heading in [*lines, *[("", 0, False, False, False)] * WINDOW]:
+        if size and (marked or not low):
             texts.append(text)
             sizes.append(size)
             inside |= article
+            titles &= heading
             empty = 0
         elif texts:
             empty += 1
             sizes.append(0)
             if empty >= WINDOW:
                 high = max(sum(sizes[i : i + WINDOW]) for i in range(max(1, len(sizes) - WINDOW + 1)))
-                out.append((texts, sum(sizes), high, inside))
-                texts, sizes, inside, empty = [], [], False, 0
+                out.append((texts, sum(sizes), high, inside, titles))
+                texts, sizes, inside, titles, empty = [], [], False, True, 0
     return out
 
 
 def main_text(page: str | None) -> str:
     """The article of one page; empty for null, empty and textless pages."""
-    lines = [x for x in lines_of(page or "") if x[0] or not x[1]]
-    # Blocks without any text are no lines; border lines are kept, three at a time.
-    found = stretches(_tight(lines))
-    if not found:
-        return ""
+    lines = list(lines_of(page or ""))
+    found = stretches(lines)
+    article = any(x[2] for x in lines)
+    length = sum(x[1] for x in lines if x[2] or not article)
+    if length and sum(s[1] for s in found if s[3] or not article) < REST * length:
+        found = stretches(lines, marked=True)
     if any(s[3] for s in found):
         kept = [s for s in found if s[3]]
-    else:
+    elif found:
         longest = max(found, key=lambda s: s[1])
-        kept = [s for s in found if s is longest or s[2] >= NEAR * longest[2]]
+        near = [s is longest or s[2] >= NEAR * longest[2] for s in found]
+        kept = [s for i, s in enumerate(found) if near[i] or s[4] and i + 1 < len(found) and near[i + 1]]
+    else:
+        kept = []
     return "\n".join(t for s in kept for t in s[0])
 
 
-def _tight(lines: list[tuple[str, int, bool]]) -> list[tuple[str, int, bool]]:
-    """Drops textless lines but at borders, where WINDOW of them follow each other."""
-    out, run = [], 0
-    for x in lines:
-        if x[0]:
-            out += [("", 0, False)] * WINDOW if run >= WINDOW else []
-            out.append(x)
-            run = 0
-        else:
-            run = run + 1 if not x[2] else run
-    return out
-
-
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars (code points of text).
 
@@ -181,8 +200,9 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(x.as_py()) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            for i, j in pieces(b.column(2)):
+                text = [main_text(x.as_py()) for x in b.column(2)[i:j]]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return in_arrow(own, run, "page_id long, url string, text string, n_chars long")

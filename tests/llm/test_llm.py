@@ -227,6 +227,34 @@ def test_pages():
     html_text.main_text("<" * 50_000 + "<!--" * 10_000 + "<p")
 
 
+def test_pages_attributes_and_class_words():
+    long = "A long paragraph of the article with many words in it, as articles have. " * 3
+    for part, kept in (
+        ('<div style="overflow: hidden">{}</div>', True), ('<div data-hidden="false">{}</div>', True), ('<section class="related-work">{}</section>', True), ('<div class="social-history">{}</div>', True), ('<header><p>{}</p></header>', True),
+        ("<div hidden>{}</div>", False), ('<div aria-hidden="true">{}</div>', False), ('<div class="sidebar-left">{}</div>', False), ('<div class="x ad-slot">{}</div>', False), ('<div id=comments>{}</div>', False), ("<div title='class=ad'>{}</div>", True),
+    ):
+        page = f"<body><article><h1>Title</h1><p>{long}</p>{part.format('The part in question.')}<p>{long}</p></article></body>"
+        assert ("The part in question." in html_text.main_text(page)) == kept, part
+
+
+def test_pages_without_article():
+    long = [f"Paragraph {i} of the story goes on for quite a while, so that it is as long as those of articles are." for i in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in long)
+    page = f"<body><div><div><a href=/>Home</a> <a href=/b>News</a></div><div><span>Site name</span></div></div><div><div><h1>Headline</h1>{body}<p>Short end.</p></div></div><div><div>Imprint 2020</div></div></body>"
+    assert html_text.main_text(page) == "\n".join(["Headline", *long, "Short end."])
+    two = f"<body><div><h1>Headline</h1></div><div><div>{body}</div></div><div><div><div>Tail</div></div></div><div><div><div>{body}</div></div></div></body>"
+    assert html_text.main_text(two) == "\n".join(["Headline", *long, *long])
+    assert html_text.main_text(f"<body><div class='content-sidebar promo'>{body}</div></body>") == "\n".join(long)
+
+
+def test_pages_of_deep_nesting():
+    import time
+
+    began = time.perf_counter()
+    assert html_text.main_text("<div>" * 100_000 + "text" + "</div></p>" * 100_000) == "text"
+    assert time.perf_counter() - began < 20
+
+
 def test_pages_table(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     html = {r.page_id: r.html for r in p.collect()}
