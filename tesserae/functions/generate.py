@@ -43,6 +43,15 @@ def box_cells(bounds: tuple[Column, Column, Column, Column], buffer: int = 0) ->
     return F.flatten(F.transform(F.sequence(low(s), high(n)), lambda a: F.transform(F.sequence(low(w), high(e)), lambda o: F.struct(a.alias("dsf_lat"), o.alias("dsf_lon")))))
 
 
+def boxed(df: DataFrame, bounds: tuple[Column, Column, Column, Column], buffer: int = 0) -> DataFrame:
+    """(dsf_lat, dsf_lon) of the same cells for all rows, as rows: two sequences, one exploded after the other, in generated code. A bound is made once."""
+    s, n, w, e = bounds
+    low = lambda x: F.floor(x).cast("int") - buffer
+    high = lambda x: F.floor(x - 1e-9).cast("int") + buffer
+    d = df.select(F.inline(F.array(F.struct(low(s).alias("s"), high(n).alias("n"), low(w).alias("w"), high(e).alias("e")))))
+    return d.select("w", "e", F.explode(F.sequence("s", "n")).alias("dsf_lat")).select("dsf_lat", F.explode(F.sequence("w", "e")).alias("dsf_lon"))
+
+
 def sample_grid(lat, lon, zoom: int = 14) -> Column:
     """Array of the distinct tiles at four by four sample points of a one-degree cell."""
     at = F.sequence(F.lit(0), F.lit(3))
@@ -58,7 +67,9 @@ def ray(df: DataFrame, lat: str, lon: str, heading: str, nm: float, zoom: int, l
     d = df.withColumn("_every", every).withColumn("_i", F.explode(F.sequence(first, last))).withColumn("_d", f(f(F.col("_i")) * F.col("_every")))
     d = d.where((F.col("_d") <= nm) & (F.col("_d") >= least_nm))
     a, o = geo.projected(lat, lon, heading, F.col("_d"))
-    d = d.withColumn("_t", geo.try_tile(a, o, F.lit(zoom))).where("_t is not null")
+    # Inline one list of one element, so that the place is made once and not for each use in the tile's formula.
+    d = d.select(*df.columns, "_i", F.inline(F.array(F.struct(a.alias("_a"), o.alias("_o")))))
+    d = d.select(*df.columns, "_i", F.explode(F.array(geo.try_tile(F.col("_a"), F.col("_o"), F.lit(zoom)))).alias("_t")).where("_t is not null")
     return d.groupBy(*df.columns, F.col("_t.row").alias("row"), F.col("_t.col").alias("col")).agg(F.min("_i").alias("step"))
 
 
@@ -81,10 +92,12 @@ def predicted(df: DataFrame, zoom: int, key: str = "seq", angle: float = 30.0, c
     ring = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("priority"), F.lit(d).alias("d")) for i, d in enumerate(rings)]))
     cone = base.withColumn("ring", ring)
     a, o = _off(lat, lon, h, F.col("ring.d") / 60)
-    cone = cone.withColumns({"mid_lat": a, "mid_lon": o, "spread": F.ceil(F.col("ring.d") * math.tan(math.radians(angle)) / F.col("nm")).cast("int")})
+    cone = cone.select("*", F.inline(F.array(F.struct(a.alias("mid_lat"), o.alias("mid_lon"))))).withColumns({"spread": F.ceil(F.col("ring.d") * math.tan(math.radians(angle)) / F.col("nm")).cast("int")})
     cone = cone.withColumn("k", F.explode(F.sequence(-F.col("spread"), F.col("spread"))))
     a, o = _off(F.col("mid_lat"), F.col("mid_lon"), h + F.signum("k") * math.pi / 2, F.abs("k") * F.col("nm") / 60)
-    side = geo.try_tile(F.when(F.col("k") == 0, F.col("mid_lat")).otherwise(a), F.when(F.col("k") == 0, F.col("mid_lon")).otherwise(o), F.lit(zoom))
+    mid = F.col("k") == 0
+    cone = cone.select("key", "ring", F.inline(F.array(F.struct(F.when(mid, F.col("mid_lat")).otherwise(a).alias("a"), F.when(mid, F.col("mid_lon")).otherwise(o).alias("o")))))
+    side = geo.try_tile(F.col("a"), F.col("o"), F.lit(zoom))
     cone = cone.select("key", side.alias("t"), F.col("ring.priority").alias("priority"))
     r = F.least(F.ceil(F.lit(radius_nm) / F.col("nm")), F.lit(MOST_RADIUS)).cast("int")
     disc = base.withColumn("r", r).withColumn("dr", F.explode(F.sequence(-F.col("r"), F.col("r")))).withColumn("dc", F.explode(F.sequence(-F.col("r"), F.col("r"))))

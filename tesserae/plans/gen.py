@@ -58,7 +58,7 @@ SELECT CAST(a AS INT) AS dsf_lat, CAST(o AS INT) AS dsf_lon, count(*) AS positio
 def gen_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many positions have each cell in their box."""
     p, b = boxes(spark, sf_dir)
-    return p.select(F.inline(generate.box_cells(b))).groupBy("dsf_lat", "dsf_lon").agg(F.count("*").alias("positions"))
+    return generate.boxed(p, b).groupBy("dsf_lat", "dsf_lon").agg(F.count("*").alias("positions"))
 
 
 @query(

@@ -29,7 +29,12 @@ def terrain(spark: SparkSession, path: str) -> DataFrame:
     The last LOAD_CENTER line with two numbers and the last texture line with a readable name count, in either order; files without one of
     them are left out. is_sea: the file's name has `_sea` in it.
     """
-    t = _lines(spark, path, "*.ter").withColumn("line", F.trim("line"))
+    return terrain_of(_lines(spark, path, "*.ter"))
+
+
+def terrain_of(lines: DataFrame) -> DataFrame:
+    """The same from lines (file, n, line)."""
+    t = lines.withColumn("line", F.trim("line"))
     w = F.split("line", r"\s+")
     centre = F.startswith("line", F.lit("LOAD_CENTER")) & (F.size(w) >= 3)
     # A line of that kind always overwrites, with null if it has no number.
@@ -43,7 +48,12 @@ def terrain(spark: SparkSession, path: str) -> DataFrame:
 def terrain_in(spark: SparkSession, path: str, bounds: tuple[float, float, float, float]) -> DataFrame:
     """Distinct tiles (row, col, zoom), by file name, of terrain whose LOAD_CENTER in the first ten lines lies in the half-open box
     (min_lat, max_lat, min_lon, max_lon)."""
-    t = _lines(spark, path, "*.ter").where(F.col("n") < 10)
+    return terrain_tiles(_lines(spark, path, "*.ter"), bounds)
+
+
+def terrain_tiles(lines: DataFrame, bounds: tuple[float, float, float, float]) -> DataFrame:
+    """The same from lines (file, n, line)."""
+    t = lines.where(F.col("n") < 10)
     w = F.split("line", r"\s+")
     t = t.where(F.startswith("line", F.lit("LOAD_CENTER")) & (F.size(w) >= 3))
     first = t.groupBy("file").agg(F.min(F.struct("n", _number(F.get(w, F.lit(1)), "double").alias("lat"), _number(F.get(w, F.lit(2)), "double").alias("lon"))).alias("c"))
@@ -58,7 +68,12 @@ def airports(spark: SparkSession, path: str) -> DataFrame:
     Records 1, 16 and 17 begin a block; 1302 datum_lat and datum_lon give its place, else the first record 100 to 102 that comes with
     coordinates in columns ten and eleven while the place is incomplete. Blocks without a place are left out.
     """
-    t = _lines(spark, path, "*")
+    return airports_of(_lines(spark, path, "*"))
+
+
+def airports_of(lines: DataFrame) -> DataFrame:
+    """The same from lines (file, n, line)."""
+    t = lines
     w = F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")
     t = t.withColumn("w", w).withColumn("code", F.get("w", F.lit(0)))
     head = F.col("code").isin("1", "16", "17") & (F.size("w") >= 6) & _number(F.get("w", F.lit(1)), "float").isNotNull()
@@ -72,13 +87,18 @@ def airports(spark: SparkSession, path: str) -> DataFrame:
     whole = F.col("a").isNotNull() & F.col("o").isNotNull() & (F.col("r").isNull() | (F.greatest("a.n", "o.n") < F.col("r.n")))
     # A runway that comes before the datum is overwritten by it, field by field.
     pick = lambda d, f: F.when(whole, F.col(f"{d}.v")).otherwise(F.when(F.col(f"{d}.n") > F.col("r.n"), F.col(f"{d}.v")).otherwise(F.coalesce(F.col(f"r.{f}"), F.col(f"{d}.v"))))
-    out = g.select(F.get("h", F.lit(4)).alias("icao"), F.array_join(F.slice("h", 6, 100000), " ").alias("name"), pick("a", "lat").alias("latitude"), pick("o", "lon").alias("longitude"), _number(F.get("h", F.lit(1)), "float").alias("elevation_ft"))
+    out = g.select(F.get("h", F.lit(4)).alias("icao"), F.array_join(F.slice("h", F.lit(6), F.greatest(F.size("h") - 5, F.lit(0))), " ").alias("name"), pick("a", "lat").alias("latitude"), pick("o", "lon").alias("longitude"), _number(F.get("h", F.lit(1)), "float").alias("elevation_ft"))
     return out.where("latitude is not null and longitude is not null")
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:
     """(checksum, package_type, title, version, metadata_url) of a package list: six header lines, then five fields two blanks apart."""
-    t = _lines(spark, path, "*").where((F.col("n") >= 6) & (F.trim("line") != ""))
+    return library_of(_lines(spark, path, "*"))
+
+
+def library_of(lines: DataFrame) -> DataFrame:
+    """The same from lines (file, n, line)."""
+    t = lines.where((F.col("n") >= 6) & (F.trim("line") != ""))
     p = F.split(F.trim("line"), r"\s{2,}")
     return t.where(F.size(p) == 5).select(*[F.get(p, F.lit(i)).alias(c) for i, c in enumerate(("checksum", "package_type", "title", "version", "metadata_url"))])
 
@@ -142,3 +162,54 @@ def packets(lines: DataFrame) -> DataFrame:
         "seq", F.when(gps, "gps").when(att, "attitude").alias("kind"), F.when(gps, n(1)).alias("lon"), F.when(gps, n(2)).alias("lat"), F.when(gps, n(3) * 3.28084).alias("altitude_ft"),
         F.when(gps, n(4)).alias("track"), F.when(gps, n(5) * 1.94384).alias("knots"), F.when(att, n(1)).alias("heading"),
     ).where("kind is not null")
+
+
+# How the first lines of package lists and metadata end; a publisher's name is before it.
+LIST_HEAD, METADATA_HEAD = "REGIONAL SCENERY PACKAGE LIBRARY", "REGIONAL SCENERY PACKAGE"
+
+
+def library_head(lines: DataFrame) -> DataFrame:
+    """(file, spec_version, scope, sequence, published_at, packages, ok) of package lists. The time is RFC 3339, in any zone; ok: the first line is that of a
+    list, its numbers are numbers, and it has as many entries as it says."""
+    at = lambda i: F.max(F.when(F.col("n") == i, F.trim("line")))
+    entries = F.count_if((F.col("n") >= 6) & (F.trim("line") != ""))
+    g = lines.groupBy("file").agg(*[at(i).alias(f"h{i}") for i in range(6)], entries.alias("entries"))
+    sequence, packages, published = F.col("h3").try_cast("long"), F.col("h5").try_cast("long"), F.try_to_timestamp("h4")
+    ok = F.endswith("h0", F.lit(LIST_HEAD)) & sequence.isNotNull() & published.isNotNull() & (packages == F.col("entries"))
+    return g.select("file", F.col("h1").alias("spec_version"), F.col("h2").alias("scope"), sequence.alias("sequence"), published.alias("published_at"), packages.alias("packages"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+# The separator of fields, the types of packages.
+FIELDS, TYPES = "  ", ("Z", "Y")
+
+
+def metadata_of(lines: DataFrame) -> DataFrame:
+    """One row per file of package metadata (file, n, line): its fields, parts (checksum, filename, url), and error, the first reason for which it is
+    none, else null.
+
+    Eight lines: first line, version, title and version, time, type, mountpoint, file name, number of parts; then a line of
+    two or three fields per part. Blank lines between are skipped, and the number must be right.
+    """
+    t = lines.withColumn("line", F.trim("line"))
+    head = [F.max(F.when(F.col("n") == i, F.col("line"))).alias(f"h{i}") for i in range(8)]
+    fields = F.split("line", FIELDS)
+    part = F.when((F.col("n") >= 8) & (F.col("line") != ""), F.struct("n", F.size(fields).alias("size"), F.get(fields, F.lit(0)).alias("checksum"), F.get(fields, F.lit(1)).alias("filename"), F.coalesce(F.get(fields, F.lit(2)), F.lit("")).alias("url")))
+    g = t.groupBy("file").agg(F.count("*").alias("lines"), *head, F.array_sort(F.collect_list(part)).alias("p"))
+    title, count = F.split("h2", FIELDS), F.col("h7").try_cast("long")
+    version = lambda c: c.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+(-[0-9A-Za-z.-]+)?(\+[0-9A-Za-z.-]+)?$")
+    stamp = F.try_to_timestamp("h3")
+    error = (
+        F.when(F.col("lines") < 8, "lines").when(~F.endswith("h0", F.lit(METADATA_HEAD)), "header").when(~version(F.col("h1")), "spec_version").when((F.size(title) != 2) | ~F.coalesce(version(F.trim(F.get(title, F.lit(1)))), F.lit(False)), "title")
+        .when(stamp.isNull(), "time").when(~F.substring("h4", 1, 1).isin(*TYPES), "type").when(count.isNull() | (count < 0), "count").when(F.exists("p", lambda x: ~x["size"].isin(2, 3)), "part").when(F.size("p") != count, "parts")
+    )
+    parts = F.transform("p", lambda x: F.struct(x["checksum"].alias("checksum"), x["filename"].alias("filename"), x["url"].alias("url")))
+    return g.select("file", F.get(title, F.lit(0)).alias("title"), F.trim(F.get(title, F.lit(1))).alias("version"), stamp.alias("published_at"), F.substring("h4", 1, 1).alias("package_type"), F.col("h5").alias("mountpoint"), F.col("h6").alias("filename"), parts.alias("parts"), error.alias("error"))
+
+
+def metadata_errors(packages: DataFrame, context: str) -> DataFrame:
+    """(file, part, error) that keep a package from a stage: `initial` needs checksums of the parts there are, `awaiting_urls` parts too, `release` their
+    addresses as well. part is null for a package without parts."""
+    none = packages.where((F.size("parts") == 0) & F.lit(context != "initial")).select("file", F.lit(None).cast("int").alias("part"), F.lit("no_parts").alias("error"))
+    p = packages.select("file", F.posexplode("parts").alias("part", "x"))
+    found = F.array(F.when(F.col("x.checksum") == "", "empty_checksum"), F.when((F.col("x.url") == "") & F.lit(context == "release"), "missing_url"))
+    return none.unionByName(p.select("file", "part", F.explode(F.filter(found, lambda e: e.isNotNull())).alias("error")))

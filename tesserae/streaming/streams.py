@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tesserae.operators import state
@@ -21,11 +23,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str) -> DataFrame:
-    """What a stream over all that is there now writes."""
-    name = f"q{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """What a stream over all that is there now writes, read from the shared folder it is written to; a complete result replaces the one before."""
+    spark = df.sparkSession
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    at = f"{where or tempfile.mkdtemp(prefix='tesserae-')}/stream-{uuid.uuid4().hex}"
+    w = df.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    if mode == "complete":
+        w = w.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/rows/batch={n}"))
+    else:
+        w = w.outputMode(mode).format("parquet").option("path", f"{at}/rows")
+    w.start().awaitTermination()
+    rows = spark.read.schema(StructType([*df.schema, StructField("batch", LongType())]) if mode == "complete" else df.schema).parquet(f"{at}/rows")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == last).drop("batch")
+    return rows
 
 
 def windowed(events: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
@@ -36,19 +50,19 @@ def windowed(events: DataFrame, late: str = "1 day", width: str = "1 day") -> Da
 def fused(updates: DataFrame) -> DataFrame:
     """(source_id, seq, t, arrived, accuracy, lat, lon) to the accepted updates, with the state kept per source between batches.
 
-    Within a batch rows are taken by seq.
+    Rows are taken as they arrive, and by seq within an Arrow batch: a key's rows stream by and are never gathered.
     """
     ship(updates.sparkSession)
     fields = ("t", "accuracy", "lat", "lon")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         s = dict(zip(fields, held.get)) if held.exists else None
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for r in rows.to_dict("records"):
-            s, o = state.fusion(s, r)
-            out.append({"source_id": key[0], "seq": r["seq"], "accepted": bool(o["accepted"]), "lat": round(o["lat"], 6), "accuracy": o["accuracy"]})
+        for rows in batches:
+            out = []
+            for r in rows.sort_values("seq").to_dict("records"):
+                s, o = state.fusion(s, r)
+                out.append({"source_id": key[0], "seq": r["seq"], "accepted": bool(o["accepted"]), "lat": round(o["lat"], 6), "accuracy": o["accuracy"]})
+            yield pd.DataFrame(out)
         held.update(tuple(float(s[f]) for f in fields))
-        yield pd.DataFrame(out)
 
     return updates.groupBy("source_id").applyInPandasWithState(step, "source_id long, seq long, accepted boolean, lat double, accuracy double", "t double, accuracy double, lat double, lon double", "append", GroupStateTimeout.NoTimeout)
