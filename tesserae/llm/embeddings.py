@@ -4,8 +4,8 @@ Unit vectors whose cosine is at least c lie at a squared distance of at most 2 -
 coordinates; these are split into low-dimensional blocks, and each block gets a share of that distance in proportion to its
 dimensions. If every block of a pair were beyond its share, the pair would be beyond the whole; so a linked pair is within
 the share in at least one block. Each block is joined on a grid over its first coordinates, every vector also looking into the
-lower neighbouring cells within reach. What is within a block's share is verified by the exact cosine, and counted in the first
-such block only.
+lower neighbouring cells within reach. What is within a block's share is verified by the exact cosine of the given components, and counted in the
+first such block only. Vectors travel as they are given, as single precision where that holds them, and are rotated where they are compared.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ BLOCK = 8
 #: Coordinates of a block that its grid is over.
 GRID = 2
 #: Vectors of a cell compared in one task are at most twice as many; larger cells are dealt out as pairs of chunks.
-CHUNK = 1024
+CHUNK = 4096
 _EPS = 1e-9
 
 
@@ -53,12 +53,33 @@ def _cells(x: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray
             yield at, own[at] + s, False
 
 
+def _packed(v: np.ndarray) -> list[bytes]:
+    """Each vector as bytes, in single precision where that is exact."""
+    short = v.astype(np.float32)
+    exact = (short == v).all(1)
+    return [b"f" + a.tobytes() if e else b"d" + x.tobytes() for a, x, e in zip(short, v, exact)]
+
+
+def _unpacked(raw: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.float32 if x[:1] == b"f" else np.float64, offset=1).astype(np.float64) for x in raw])
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Vectors of length one; squares of very large or small components neither overflow nor vanish."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def _turned(unit: np.ndarray) -> np.ndarray:
+    """Rotated, to twelve places, so that every task that meets a pair makes the same of it."""
+    return np.round(unit @ rotation(unit.shape[1]), 12)
+
+
 def _dealt(classes: DataFrame, cosine: float, block: int, grid: int) -> DataFrame:
-    """(grp, blk, cell, home, id, mult, vec): every vector in each block's cells; vec holds doubles of unit length."""
+    """(grp, blk, cell, home, id, mult, vec): every vector in each block's cells."""
     budget = 2 - 2 * cosine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turned: dict[int, np.ndarray] = {}
         for b in batches:
             ids, grps, mults, dims = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(4).to_numpy()
             vectors = b.column(3)
@@ -66,12 +87,8 @@ def _dealt(classes: DataFrame, cosine: float, block: int, grid: int) -> DataFram
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
                 v = flat[offsets[own][:, None] + np.arange(dim)]
-                top = np.abs(v).max(1, keepdims=True)
-                v = v / top  # squares of very large or small components neither overflow nor vanish
-                v /= np.sqrt((v * v).sum(1, keepdims=True))
-                r = turned.setdefault(int(dim), rotation(int(dim)))
-                w = v @ r
-                raw = pa.array([x.tobytes() for x in w], pa.binary())
+                raw = pa.array(_packed(v), pa.binary())
+                w = _turned(_unit(v))
                 for j, sl in enumerate(blocks(int(dim), block)):
                     reach = float(np.sqrt(budget * (sl.stop - sl.start) / dim))
                     for at, cell, home in _cells(w[:, sl.start : min(sl.stop, sl.start + grid)], reach):
@@ -87,12 +104,14 @@ def _dealt(classes: DataFrame, cosine: float, block: int, grid: int) -> DataFram
     return in_arrow(classes.select("id", "grp", "mult", "v", F.size("v").alias("dim")), run, "grp long, blk int, cell long, home boolean, id string, mult long, vec binary")
 
 
-def _compared(ids: np.ndarray, mult: np.ndarray, home: np.ndarray, part: np.ndarray, both: bool, w: np.ndarray, blk: int, cosine: float, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _compared(mult: np.ndarray, home: np.ndarray, part: np.ndarray, both: int, v: np.ndarray, blk: int, cosine: float, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one cell's vectors in one block: for each id with links its links' copies, and the root of its links' forest.
 
     part: the chunk (0 or 1) of each; both: whether pairs within chunk 0 and 1 belong here, by bit.
     """
-    n, dim = w.shape
+    n, dim = v.shape
+    unit = _unit(v)
+    w = _turned(unit)
     sls = blocks(dim, block)
     share = [(2 - 2 * cosine) * (s.stop - s.start) / dim + _EPS for s in sls]
     x = w[:, sls[blk]]
@@ -108,7 +127,7 @@ def _compared(ids: np.ndarray, mult: np.ndarray, home: np.ndarray, part: np.ndar
         a, b = np.nonzero(ok)
         for k in range(0, len(a), 20_000):
             p, q = a[k : k + 20_000] + i, b[k : k + 20_000]
-            hit = (w[p] * w[q]).sum(1) >= cosine
+            hit = (unit[p] * unit[q]).sum(1) >= cosine
             p, q = p[hit], q[hit]
             d = (w[p] - w[q]) ** 2
             first = np.ones(len(p), bool)
@@ -158,8 +177,7 @@ def near_links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK, g
                 lo, hi = (0, 0) if c == 1 else divmod(p, c)
                 if c > 1:  # pairs within chunk k belong to the pair of chunks k and k + 1
                     both = 1 * ((lo + 1) % c == hi) + 2 * ((hi + 1) % c == lo)
-                w = np.frombuffer(b"".join(g.column("vec").to_pylist()), np.float64).reshape(j - i, -1)
-                who, n, root = _compared(ids, g.column("mult").to_numpy(), g.column("home").to_numpy(zero_copy_only=False), (own == hi).astype(int) if c > 1 else np.zeros(j - i, int), both, w, int(k[1, i]), cosine, block)
+                who, n, root = _compared(g.column("mult").to_numpy(), g.column("home").to_numpy(zero_copy_only=False), (own == hi).astype(int) if c > 1 else np.zeros(j - i, int), both, _unpacked(g.column("vec").to_pylist()), int(k[1, i]), cosine, block)
                 if len(who):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[who], pa.string()), pa.array(ids[root], pa.string()), pa.array(n.astype(np.int64))], ["id", "root", "n"])
 
