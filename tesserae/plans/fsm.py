@@ -62,7 +62,25 @@ def _flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed(spark, sf_dir).select("source_id", "seq", "t", (F.col("seq") * 13 % 97).cast("double").alias("knots"), (F.col("seq") * 7 % 2500).cast("double").alias("msl"))
 
 
-@query()
+_TO = """CASE WHEN climb THEN 'cruise' WHEN wanted IS NULL THEN NULL WHEN want = wanted AND t - wf >= CASE WHEN phase = 'cruise' THEN 15 ELSE 2 END THEN wanted END"""
+
+
+@query(
+    "WITH RECURSIVE "
+    + cte("positions")[5:]
+    + _T
+    + f""", g AS (SELECT source_id, seq, n, t, CAST(seq * 13 % 97 AS DOUBLE) AS knots, CAST(seq * 7 % 2500 AS DOUBLE) AS msl FROM e),
+f AS (SELECT source_id, seq, n, t, 'ground' AS phase, t AS since, NULL::DOUBLE AS pm, CASE WHEN knots >= 40 THEN 'transition' END AS want, CASE WHEN knots >= 40 THEN t END AS wf, FALSE AS changed, 'idle' AS mode, NULL::DOUBLE AS ts FROM g WHERE n = 1 UNION ALL
+SELECT source_id, seq, n, t, phase, since, pm, want, wf, changed, CASE WHEN mode = 'ramping' AND t - ts >= 30 THEN 'idle' ELSE mode END, CASE WHEN mode = 'ramping' AND t - ts < 30 THEN ts END FROM
+ (SELECT source_id, seq, n, t, coalesce(go, phase) AS phase, CASE WHEN go IS NULL THEN since ELSE t END AS since, CASE WHEN go IS NULL THEN pm WHEN go = 'transition' THEN msl END AS pm, CASE WHEN go IS NULL AND NOT climb AND wanted IS NOT NULL THEN wanted END AS want,
+   CASE WHEN go IS NULL AND wanted IS NOT NULL THEN CASE WHEN want = wanted THEN wf ELSE t END END AS wf, go IS NOT NULL AS changed,
+   CASE WHEN go = 'transition' THEN 'held' WHEN go = 'ground' THEN 'idle' WHEN go = 'cruise' AND mode = 'held' THEN 'ramping' ELSE mode END AS mode, CASE WHEN go IN ('transition', 'ground') THEN NULL WHEN go = 'cruise' AND mode = 'held' THEN t ELSE ts END AS ts FROM
+  (SELECT *, {_TO} AS go FROM
+   (SELECT g.*, f.phase, f.since, f.pm, f.want, f.wf, f.mode, f.ts, f.phase = 'transition' AND (coalesce(g.msl - f.pm >= 1000, FALSE) OR g.t - f.since >= 90) AS climb,
+     CASE WHEN f.phase = 'transition' THEN CASE WHEN g.knots < 40 THEN 'ground' END WHEN f.phase = 'ground' THEN CASE WHEN g.knots >= 40 THEN 'transition' END WHEN g.knots < 40 THEN 'ground' END AS wanted
+    FROM f JOIN g ON g.source_id = f.source_id AND g.n = f.n + 1))))
+SELECT source_id, seq, phase, changed, mode, round(CASE mode WHEN 'idle' THEN 1 WHEN 'held' THEN 0 ELSE 0.25::DOUBLE + (t - ts) / 30 * 0.75::DOUBLE END, 6) AS share FROM f"""
+)
 def fsm_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flight phases and the throttle that follows them, row by row."""
 
@@ -96,7 +114,19 @@ def fsm_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded(d, ["source_id"], ["seq"], step, "source_id long, seq long, state string, attempts int")
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + cte("tile_requests")[5:]
+    + """, g AS (SELECT session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n, CAST(seq % 3 AS INT) AS tile, ['started', 'completed', 'completed', 'started', 'completed', 'failed'][CAST(seq * 7 % 6 AS INT) + 1] AS ev FROM tile_requests),
+f AS (SELECT session_id, seq, n, ev = 'started' AS alive, CASE WHEN ev = 'started' THEN 1 ELSE 0 END AS total, 0 AS done, CASE WHEN ev = 'started' AND tile = 0 THEN 0 END AS o0, CASE WHEN ev = 'started' AND tile = 1 THEN 0 END AS o1, CASE WHEN ev = 'started' AND tile = 2 THEN 0 END AS o2 FROM g WHERE n = 1 UNION ALL
+SELECT session_id, seq, n, NOT gone, CASE WHEN gone THEN 0 ELSE total END, CASE WHEN gone THEN 0 ELSE done END, o0, o1, o2 FROM
+ (SELECT *, NOT alive OR (ev <> 'started' AND o0 IS NULL AND o1 IS NULL AND o2 IS NULL AND done >= total) AS gone FROM
+  (SELECT session_id, seq, n, ev, alive OR ev = 'started' AS alive, CASE WHEN ev = 'started' AND cur IS NULL THEN total + 1 WHEN ev = 'failed' AND cur IS NOT NULL THEN greatest(0, total - 1) ELSE total END AS total, CASE WHEN ev = 'completed' AND cur = 1 THEN done + 1 ELSE done END AS done,
+    CASE WHEN tile = 0 THEN new ELSE o0 END AS o0, CASE WHEN tile = 1 THEN new ELSE o1 END AS o1, CASE WHEN tile = 2 THEN new ELSE o2 END AS o2 FROM
+   (SELECT *, CASE ev WHEN 'started' THEN coalesce(cur, 0) WHEN 'completed' THEN CASE WHEN cur = 0 THEN 1 END END AS new FROM
+    (SELECT g.*, f.alive, f.total, f.done, f.o0, f.o1, f.o2, CASE g.tile WHEN 0 THEN f.o0 WHEN 1 THEN f.o1 ELSE f.o2 END AS cur FROM f JOIN g ON g.session_id = f.session_id AND g.n = f.n + 1)))))
+SELECT session_id, seq, total, done FROM f"""
+)
 def fsm_tile_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles in work per session, row by row."""
     kinds = ["started", "completed", "completed", "started", "completed", "failed"]

@@ -79,7 +79,16 @@ def win_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed(spark, sf_dir).select("source_id", "seq", (age > 30).alias("expired"), (age >= 120).alias("region_stale"), (age > 5).alias("safe_mode"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + cte("positions")[5:]
+    + _T
+    + """, r AS (SELECT source_id, seq, t * 60 AS t, n, count(*) OVER w AS samples, round(CASE WHEN count(*) OVER w < 2 THEN 0 ELSE count(*) OVER w / greatest(t - min(t) OVER w, 0.001) END, 6) AS throughput FROM e WINDOW w AS (PARTITION BY source_id ORDER BY t RANGE BETWEEN 300 PRECEDING AND CURRENT ROW)),
+f AS (SELECT source_id, seq, n, CASE WHEN samples >= 10 THEN t END AS last, CASE WHEN samples >= 10 THEN least(2, greatest(0, 1 + CASE WHEN throughput < 0.7::DOUBLE * 0.33::DOUBLE THEN -1 WHEN throughput > 0.9::DOUBLE * 0.33::DOUBLE THEN 1 ELSE 0 END)) ELSE 1 END AS i FROM r WHERE n = 1 UNION ALL
+SELECT source_id, seq, n, CASE WHEN due THEN t ELSE last END, CASE WHEN due THEN least(2, greatest(0, i + CASE WHEN throughput < 0.7::DOUBLE * 0.33::DOUBLE THEN -1 WHEN throughput > 0.9::DOUBLE * 0.33::DOUBLE THEN 1 ELSE 0 END)) ELSE i END FROM
+ (SELECT r.*, f.last, f.i, r.samples >= 10 AND (f.last IS NULL OR r.t - f.last >= 900) AS due FROM f JOIN r ON r.source_id = f.source_id AND r.n = f.n + 1))
+SELECT source_id, seq, ['disabled', 'opportunistic', 'aggressive'][CAST(i AS INT) + 1] AS mode FROM f"""
+)
 def win_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mode ladder over rolling throughput against a baseline of one sample in three seconds."""
     d = win_rolling_throughput(spark, sf_dir).join(timed(spark, sf_dir).select("seq", (F.col("t") * 60).alias("t")), "seq")
