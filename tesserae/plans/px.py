@@ -40,12 +40,29 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), one), "")).alias("rgba"))
 
 
-@query()
+def _hex(x: str, n: int) -> str:
+    """Little-endian bytes of a number, as hex."""
+    return " || ".join(f"format('{{:02x}}', ({x} >> {8 * i}) & 255)" for i in range(n))
+
+
+_R, _G, _B = "(((({c} >> 11) & 31) << 3) | ((({c} >> 11) & 31) >> 2))", "(((({c} >> 5) & 63) << 2) | ((({c} >> 5) & 63) >> 4))", "((({c} & 31) << 3) | (({c} & 31) >> 2))"
+_PAL = ", ".join(f"[{h}, {lo}, (2 * {h} + {lo}) // 3, ({h} + 2 * {lo}) // 3] AS p{n}" for n, c in (("r", _R), ("g", _G), ("b", _B)) for h, lo in ((c.format(c="h"), c.format(c="l")),))
+_BC1 = f"""WITH x AS (SELECT p_partkey AS id, i.range AS i, (p_partkey * 7 + i.range * 13) % 256 AS r, (p_partkey * 11 + i.range * 29) % 256 AS g, (p_partkey * 5 + i.range * 3) % 256 AS b, (p_partkey * 3 + i.range * 17) % 256 AS a FROM part, range(16) i),
+c AS (SELECT id, ((max(r) >> 3) << 11) | ((max(g) >> 2) << 5) | (max(b) >> 3) AS c0, ((min(r) >> 3) << 11) | ((min(g) >> 2) << 5) | (min(b) >> 3) AS c1, max(a) AS a0, min(a) AS a1 FROM x GROUP BY id),
+e AS (SELECT id, greatest(c0, c1) AS h, least(c0, c1) AS l, a0, a1 FROM c), pal AS (SELECT *, {_PAL}, [a0, a1, (6 * a0 + a1) // 7, (5 * a0 + 2 * a1) // 7, (4 * a0 + 3 * a1) // 7, (3 * a0 + 4 * a1) // 7, (2 * a0 + 5 * a1) // 7, (a0 + 6 * a1) // 7] AS la FROM e),
+d AS (SELECT id, i, j.range AS j, pow((r - pr[j.range + 1]) * {pixels.RED}, 2) + pow((g - pg[j.range + 1]) * {pixels.GREEN}, 2) + pow(b - pb[j.range + 1], 2) AS d FROM x JOIN pal USING (id), range(4) j),
+k AS (SELECT id, i, arg_min(j, d * 8 + j) AS pick FROM d GROUP BY id, i), bits AS (SELECT id, CAST(sum(pick << CAST(2 * i AS INT)) AS BIGINT) AS bits FROM k GROUP BY id),
+da AS (SELECT id, i, arg_min(j.range, abs(a - la[j.range + 1]) * 8 + j.range) AS pick FROM x JOIN pal USING (id), range(8) j GROUP BY id, i), ba AS (SELECT id, CAST(sum(pick << CAST(3 * i AS INT)) AS BIGINT) AS bits FROM da GROUP BY id),
+o AS (SELECT id, {_hex("h", 2)} || {_hex("l", 2)} || {_hex("bits", 4)} AS colours FROM e JOIN bits USING (id)),
+oa AS (SELECT id, format('{{:02x}}', a0) || format('{{:02x}}', a1) || {_hex("bits", 6)} AS alphas FROM e JOIN ba USING (id))"""
+
+
+@query(_BC1 + " SELECT id, colours AS block FROM o")
 def px_bc1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.compressed(_blocks(spark, sf_dir), "BC1").select("id", F.lower(F.hex("block")).alias("block"))
 
 
-@query()
+@query(_BC1 + " SELECT id, alphas || colours AS block FROM o JOIN oa USING (id)")
 def px_bc3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.compressed(_blocks(spark, sf_dir), "BC3").select("id", F.lower(F.hex("block")).alias("block"))
 
@@ -57,7 +74,10 @@ def px_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), (pixels.data_size(F.col("p_size") * 64, F.lit(4096), "BC1", 5) + 128).alias("bytes"))
 
 
-@query()
+@query("""WITH c AS (SELECT l_suppkey AS "row", l_orderkey % 256 AS k, max(l_partkey) AS v, max(l_linenumber) AS n FROM lineitem GROUP BY 1, 2),
+g AS (SELECT "row", r.range AS k FROM (SELECT DISTINCT "row" FROM c), range(256) r),
+f AS (SELECT "row", k, CASE WHEN n % 5 <> 0 THEN format('{:08x}', v * 65521 % 4294967296) ELSE 'ff00ffff' END AS px FROM g LEFT JOIN c USING ("row", k))
+SELECT "row", sha256(unhex(string_agg(px, '' ORDER BY k))) AS digest FROM f GROUP BY ALL""")
 def px_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of sixteen by sixteen chunks of one pixel, by supplier; a digest of each image."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
