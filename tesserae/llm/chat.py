@@ -72,30 +72,43 @@ def fingerprint_of(paths: frozenset[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def leaf_paths(schema: T.StructType) -> dict[str, str]:
-    """Known paths of text fields in the schema, each with the top-level column that decides whether it holds a value."""
+def leaf_paths(schema: T.StructType) -> dict[str, Column]:
+    """Known paths of text fields in the schema, each with whether it holds a value: a text that is not null, a list of which an element has
+    the field, or a list without elements."""
     out = {}
+    has = lambda field: lambda x: x[field].isNotNull()
     for f in schema:
+        own = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
-            out[f.name] = f.name
+            out[f.name] = own.isNotNull()
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-            out |= {f"{f.name}[].{g.name}": f.name for g in f.dataType.elementType if isinstance(g.dataType, T.StringType)}
+            for g in f.dataType.elementType:
+                if isinstance(g.dataType, T.StringType):
+                    out[f"{f.name}[].{g.name}"] = (F.size(own) == 0) | F.exists(own, has(g.name))
     return {p: c for p, c in out.items() if p in KNOWN}
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A column's name that df does not have, whatever the case."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def canonical(records: DataFrame) -> DataFrame:
     """records with fingerprint, layout and turns (role, text).
 
-    A list without elements holds a value; null does not. Null texts count as empty. Records that match no layout, or hold
+    A list without elements holds a value; null does not, and neither do fields that no element of a list has. Null texts count as empty. Records that match no layout, or hold
     known fields of two, get a null layout and null turns. Columns that no layout names are ignored and kept, but for those
     named fingerprint, layout or turns (unless `turns` is itself a layout's list), which are replaced.
     """
     paths = leaf_paths(records.schema)
     if not paths:
         return records.withColumns({"fingerprint": F.lit(fingerprint_of(frozenset())), "layout": F.lit(None).cast("string"), "turns": F.lit(None).cast(TURNS)})
-    held = F.filter(F.array(*(F.when(F.col(f"`{c}`").isNotNull(), F.lit(p)) for p, c in sorted(paths.items()))), lambda x: x.isNotNull())
+    held = F.filter(F.array(*(F.when(paths[p], F.lit(p)) for p in sorted(paths))), lambda x: x.isNotNull())
     fp = F.substring(F.sha2(F.array_join(held, "\n"), 256), 1, 16)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    mark, named, made = (_free(records, x) for x in ("_fingerprint", "_layout", "_turns"))
     for x in LAYOUTS:
         if not set(x.needs) <= set(paths):
             continue
@@ -103,10 +116,10 @@ def canonical(records: DataFrame) -> DataFrame:
         for n in range(len(may) + 1):
             for extra in combinations(may, n):
                 have = frozenset((*x.needs, *extra))
-                hit = F.col("_fingerprint") == fingerprint_of(have)
+                hit = F.col(mark) == fingerprint_of(have)
                 layout, turns = F.when(hit, F.lit(x.name)).otherwise(layout), F.when(hit, x.turns(have).cast(TURNS)).otherwise(turns)
-    out = records.withColumn("_fingerprint", fp).withColumn("_layout", layout).withColumn("_turns", _roles(turns))
-    return out.drop("fingerprint", "layout", "turns").withColumnsRenamed({"_fingerprint": "fingerprint", "_layout": "layout", "_turns": "turns"})
+    out = records.withColumn(mark, fp).withColumn(named, layout).withColumn(made, _roles(turns))
+    return out.drop("fingerprint", "layout", "turns").withColumnsRenamed({mark: "fingerprint", named: "layout", made: "turns"})
 
 
 def escape(text: Column) -> Column:
@@ -134,8 +147,9 @@ def formatted(conversations: DataFrame, turns: str = "turns", learn: str = "assi
     """
     t = F.coalesce(F.col(turns), F.array().cast(TURNS))
     marked = F.transform(t, lambda x: F.struct(F.concat(F.lit(START), _role(x["role"]), F.lit("\n")).alias("head"), escape(F.coalesce(x["text"], F.lit(""))).alias("body"), F.coalesce(x["role"] == learn, F.lit(False)).alias("loss")))
-    d = conversations.withColumn("_marked", marked)
-    d = d.withColumn("formatted", F.array_join(F.transform("_marked", lambda x: F.concat(x["head"], x["body"], F.lit(END))), ""))
+    held = _free(conversations, "_marked")
+    d = conversations.withColumn(held, marked)
+    d = d.withColumn("formatted", F.array_join(F.transform(held, lambda x: F.concat(x["head"], x["body"], F.lit(END))), ""))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -144,7 +158,7 @@ def formatted(conversations: DataFrame, turns: str = "turns", learn: str = "assi
         one = F.array(F.struct(start.alias("start"), end.alias("end")))
         return F.struct((end + len(END)).alias("at"), F.when(x["loss"], F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
 
-    return d.withColumn("loss_spans", F.aggregate("_marked", begin, step)["spans"]).drop("_marked")
+    return d.withColumn("loss_spans", F.aggregate(held, begin, step)["spans"]).drop(held)
 
 
 def parsed(text: Column) -> Column:

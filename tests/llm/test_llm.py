@@ -294,6 +294,16 @@ def test_chat_layouts(spark):
     assert len({got[i].fingerprint for i in range(1, 7)}) == 6
 
 
+def test_chat_odd(spark):
+    schema = "id int, messages array<struct<role:string,content:string>>, _marked string, _turns string, _layout string, _fingerprint string"
+    rows = [(1, [("user", "q"), ("assistant", "x" * 300_000)], "a", "b", "c", "d"), (2, [("user", None)], "a", "b", "c", "d"), (3, [], "a", "b", "c", "d"), (4, None, "a", "b", "c", "d")]
+    got = {r.id: r for r in chat.formatted(chat.canonical(spark.createDataFrame(rows, schema))).collect()}
+    assert all((r["_marked"], r["_turns"], r["_layout"], r["_fingerprint"]) == ("a", "b", "c", "d") for r in got.values())
+    assert len(got[1].formatted) > 300_000 and got[2].layout is None and got[3].layout == "messages" and got[3].formatted == "" and got[4].layout is None
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digest(chat.formatted(chat.canonical(chat.by_turn(none)))).count() == 0
+
+
 # --- 6 personal data ---------------------------------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
