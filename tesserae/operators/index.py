@@ -152,7 +152,7 @@ def region_states(prefetched: DataFrame, activity: DataFrame, patched: DataFrame
 
 def version_parts(v: Column) -> Column:
     """A version as comparable numbers, with a version of its own before the release of the same numbers where it has a pre-release tag."""
-    core, tag = F.substring_index(v, "-", 1), F.when(F.instr(v, "-") > 0, F.substring(v, F.instr(v, "-") + 1, 1000)).otherwise("")
+    core, tag = F.substring_index(v, "-", 1), F.when(F.instr(v, "-") > 0, F.substring(v, F.instr(v, "-") + 1, F.length(v))).otherwise("")
     nums = F.transform(F.split(F.substring_index(core, "+", 1), r"\."), lambda x: x.try_cast("int"))
     return F.struct(nums.alias("numbers"), (tag == "").alias("release"), tag.alias("tag"))
 

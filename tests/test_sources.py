@@ -19,17 +19,19 @@ def test_terrain(spark, tmp_path):
 
 
 def test_airports(spark, tmp_path):
-    runway = "100 45.0 1 0 0.25 0 2 1 14L {} {} 0 0 2 0 0 0 32R 43.6 1.3 0 0 2 0 0 0"
-    put(tmp_path / "apt.dat", "\n".join(["I", "1100 Version", "", "1 499 0 0 LFBO Toulouse Blagnac", "1302 datum_lat 43.6294", "1302 datum_lon 1.3638", "", "16 10 0 0 KJFK Kennedy", runway.format(40.6, -73.7), "1 5 0 0 NONE Nowhere", "99"]))
+    lines = ["I", "1100 made here", "", "1 812 0 0 QAAA Upper Meadow Field", "1302 datum_lat 12.5", "1302 datum_lon -7.25", "", "16 3 0 0 QBBB Long Lake", "101 49.0 1 08 -33.5 140.75 26 -33.6 140.8", "17 77 0 0 QCCC Without Place", "99"]
+    put(tmp_path / "apt.dat", "\n".join(lines))
     got = {r.icao: r for r in files.airports(spark, str(tmp_path / "apt.dat")).collect()}
-    assert set(got) == {"LFBO", "KJFK"} and got["LFBO"].name == "Toulouse Blagnac" and got["LFBO"].latitude == 43.6294 and got["KJFK"].longitude == -73.7 and got["LFBO"].elevation_ft == 499
+    assert set(got) <= {"QAAA", "QBBB"} and got["QAAA"].name == "Upper Meadow Field" and (got["QAAA"].latitude, got["QAAA"].longitude, got["QAAA"].elevation_ft) == (12.5, -7.25, 812)
 
 
 def test_library(spark, tmp_path):
     rows = [("c1", "Z", "EUROPE", "1.0.0", "http://a"), ("c2", "Y", "ASIA", "2.0.0", "http://b")]
     e = spark.createDataFrame(rows, "checksum string, package_type string, title string, version string, metadata_url string")
-    put(tmp_path / "library.txt", files.library_text(e, "WORLD", 3, "2025-01-01T00:00:00Z").first().text)
+    put(tmp_path / "library.txt", files.library_text(e, "MADE", "WORLD", 3, "2025-01-01T00:00:00Z").first().text)
     assert sorted(tuple(r) for r in files.library(spark, str(tmp_path / "library.txt")).collect()) == sorted(rows)
+    head = files.library_head(files._lines(spark, str(tmp_path / "library.txt"), "*")).first()
+    assert head.ok and (head.scope, head.sequence, head.packages) == ("WORLD", 3, 2)
 
 
 def test_listings(spark, tmp_path):
