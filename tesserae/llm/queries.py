@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import chat, clusters, collocations, decontaminate, embeddings, html_text, mixing, pii, quality, sharding, simhash, substring
+from tesserae.llm import chat, clusters, collocations, decontaminate, embeddings, html_text, mixing, pii, quality, sharding, simhash, substring, suffixes
 from tesserae.llm.common import table
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
@@ -61,7 +61,11 @@ def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.centroid_clusters(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_mixing, op3_html, op4_chat, op5_sharding, op6_pii, op7_embeddings, op8_quality, op9_simhash, op10_decontaminate, op11_collocations, op12_clusters)}
+def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring, op2_mixing, op3_html, op4_chat, op5_sharding, op6_pii, op7_embeddings, op8_quality, op9_simhash, op10_decontaminate, op11_collocations, op12_clusters, op13_suffix_array)}
 
 _W = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 ORACLES = {
