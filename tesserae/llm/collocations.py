@@ -37,7 +37,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _WORDS = "chunk long, code int, lang string, word string, n long, seq binary"
-_PAIRS = "chunk long, code int, left long, right long, n long, seq binary"
+_PACKED = "chunk long, pairs binary, seq binary"
+_PAIRS = "chunk long, code int, left long, right long, n long"
 
 
 def _coded(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +49,7 @@ def _coded(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _packed(seq: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(seq.astype(np.int32).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(seq).tobytes())
 
 
 def _names() -> Iterator[int]:
@@ -73,21 +74,13 @@ def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, np.searchsorted(first, start, "right") - 1, np.concatenate([[False], breaks[1:] == breaks[:-1]]) if len(start) else np.zeros(0, bool)
 
 
-def _batch(chunk: int, columns: dict, seq: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """The list of a chunk, a slice at a time, then its sequence as a row of its own."""
-    types = {"code": pa.int32(), "left": pa.int64(), "right": pa.int64(), "n": pa.int64(), "lang": pa.string(), "word": pa.string()}
-    n = len(columns["n"])
-    for i in range(0, n, 1 << 16):
-        part = {k: v[i : i + (1 << 16)] for k, v in columns.items()}
-        m = len(part["n"])
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(m, chunk)), **{k: pa.array(v, types[k]) if not isinstance(v, pa.Array) else v for k, v in part.items()}, "seq": pa.nulls(m, pa.binary())})
-    if seq is not None:
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk]), **{k: pa.nulls(1, types[k]) for k in columns}, "seq": pa.array([_packed(seq)], pa.binary())})
+def _unpacked(z: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z.as_buffer()), kind)
 
 
 def _words(docs: DataFrame, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _names()
+        names, columns = _names(), ["chunk", "code", "lang", "word", "n", "seq"]
         for b in batches:
             every = b.column(0).dictionary_encode()
             for i, j in pieces(b.column(1), most):
@@ -98,18 +91,22 @@ def _words(docs: DataFrame, most: int) -> DataFrame:
                 d = words.dictionary_encode()
                 size = len(d.dictionary)
                 code, key, n = _coded(every.indices[i:j].to_numpy()[doc].astype(np.int64) * size + d.indices.to_numpy())
-                seq = np.insert(code, np.flatnonzero(~on), -1)
-                yield from _batch(next(names), {"code": np.arange(len(n)), "lang": every.dictionary.take(pa.array(key // size)), "word": d.dictionary.take(pa.array(key % size)), "n": n}, seq)
+                seq = np.insert(code, np.flatnonzero(~on), -1).astype(np.int32)
+                chunk, m = next(names), len(n)
+                told = (every.dictionary.take(pa.array(key // size)), d.dictionary.take(pa.array(key % size)), pa.array(n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(np.arange(m), pa.int32()), *told, pa.nulls(m, pa.binary())], columns)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.nulls(1, x.type) for x in (pa.array([], pa.int32()), *told)), pa.array([_packed(seq)], pa.binary())], columns)
 
     own = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.col("text")).where("text is not null")
     return cut(in_arrow(own, run, _WORDS))
 
 
-def _paired(rows: DataFrame, named: DataFrame, on: list[str], last: bool) -> DataFrame:
-    """The pairs of adjacent places of each chunk that have frequent ids (named: columns `on` and id), as a table like rows."""
-    ids = rows.where("seq is null").join(small(named.select(*on, "id")), on).select("chunk", "code", "id", F.lit(None).cast("binary").alias("seq"))
-    both = ids.unionByName(rows.where("seq is not null").select("chunk", "code", F.lit(None).cast("long").alias("id"), "seq"))
-    both = both.repartition(parts(rows.sparkSession), "chunk").sortWithinPartitions("chunk")
+def _paired(lists: DataFrame, seqs: DataFrame, named: DataFrame, on: list[str]) -> DataFrame:
+    """The pairs of adjacent places of each chunk that have frequent ids (named: columns `on` and id), packed: one row per chunk, of the list of its
+    pairs and its sequence of codes into it."""
+    ids = lists.join(small(named.select(*on, "id")), on).select("chunk", "code", "id", F.lit(None).cast("binary").alias("seq"))
+    both = ids.unionByName(seqs.select("chunk", F.lit(None).cast("int").alias("code"), F.lit(None).cast("long").alias("id"), "seq"))
+    both = both.repartition(parts(lists.sparkSession), "chunk").sortWithinPartitions("chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["chunk"]):
@@ -120,8 +117,7 @@ def _paired(rows: DataFrame, named: DataFrame, on: list[str], last: bool) -> Dat
                 told = g.filter(pa.compute.is_valid(g.column("id")))
                 if not len(told):
                     continue
-                z = g.column("seq").filter(pa.compute.is_valid(g.column("seq")))[0].as_buffer()
-                seq = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.int32)
+                seq = _unpacked(g.column("seq").filter(pa.compute.is_valid(g.column("seq")))[0], np.int32)
                 code, ident = told.column("code").to_numpy(), told.column("id").to_numpy()
                 place = np.full(max(int(seq.max()), int(code.max())) + 2, -1)  # the last one is what -1 reads
                 place[code] = np.arange(len(code))
@@ -129,17 +125,31 @@ def _paired(rows: DataFrame, named: DataFrame, on: list[str], last: bool) -> Dat
                 pair = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0))
                 if not len(pair):
                     continue
-                key = own[pair].astype(np.int64) * len(code) + own[pair + 1]
-                c, key, n = _coded(key)
+                c, key, n = _coded(own[pair].astype(np.int64) * len(code) + own[pair + 1])
                 new = np.full(len(seq) - 1, -1, np.int32)
                 new[pair] = c
-                yield from _batch(int(name[i]), {"code": np.arange(len(n)), "left": ident[key // len(code)], "right": ident[key % len(code)], "n": n}, None if last else new)
+                pairs = np.concatenate([ident[key // len(code)], ident[key % len(code)], n])
+                yield pa.RecordBatch.from_arrays([pa.array([name[i]]), pa.array([_packed(pairs)], pa.binary()), pa.array([_packed(new)], pa.binary())], ["chunk", "pairs", "seq"])
 
-    return cut(in_arrow(both, run, _PAIRS))
+    return in_arrow(both, run, _PACKED)
+
+
+def _listed(packed: DataFrame) -> DataFrame:
+    """(chunk, code, left, right, n) of all chunks' lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, z in zip(b.column(0).to_pylist(), b.column(1)):
+                left, right, n = _unpacked(z, np.int64).reshape(3, -1)
+                for i in range(0, len(n), 1 << 17):
+                    j = min(i + (1 << 17), len(n))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, chunk)), pa.array(np.arange(i, j), pa.int32()), *(pa.array(x[i:j]) for x in (left, right, n))], ["chunk", "code", "left", "right", "n"])
+
+    return in_arrow(packed.select("chunk", "pairs"), run, _PAIRS)
 
 
 def _counted(rows: DataFrame, on: list[str]) -> DataFrame:
-    return rows.where("seq is null").groupBy(*on).agg(F.sum("n").alias("f"))
+    return rows.groupBy(*on).agg(F.sum("n").alias("f"))
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -172,14 +182,16 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     Repeated rows count each. No words give no rows. Other columns are not read.
     """
     rows = _words(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")), chunk)
-    words = _numbered(_counted(rows, ["lang", "word"]))
+    lists, seqs = rows.where("seq is null"), rows.where("seq is not null").select("chunk", "seq")
+    words = _numbered(_counted(lists, ["lang", "word"]))
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     level = words.where(F.col("f") >= least).select("id", "lang", "word", "f", F.col("word").alias("phrase"), F.array().cast("array<long>").alias("pre"), F.array().cast("array<long>").alias("suf"))
     on, found = ["lang", "word"], []
     for k in range(2, longest + 1):
-        rows = _paired(rows, level, on, k == longest)
-        on = ["left", "right"]
-        longer = _numbered(_lengthened(_counted(rows, on).where(F.col("f") >= least), level))
+        packed = _paired(lists, seqs, level, on)
+        packed = packed if k == longest else cut(packed)
+        lists, seqs, on = _listed(packed), packed.select("chunk", "seq"), ["left", "right"]
+        longer = _numbered(_lengthened(_counted(lists, on).where(F.col("f") >= least), level))
         if k > 2:
             inside = longer.select(F.explode(F.array("left", "right")).alias("id"), "f").groupBy("id").agg(F.max("f").alias("inside"))
             level = level.join(inside, "id", "left").where(F.coalesce(100 * F.col("inside") < covered * F.col("f"), F.lit(True)))
