@@ -29,7 +29,7 @@ from tesserae.llm.substring import compact_windows, mixed
 
 WIDTH, GRAM = 200, 32
 #: Bytes of a shard, and of its queues in memory.
-SHARD, MEMORY = 8 << 20, 64 << 20
+SHARD, MEMORY = 3 << 20, 32 << 20
 #: Segments of a key from which on its strings are counted one by one.
 HOT = 1 << 16
 #: Suffixes that a sweep works on at once.
