@@ -9,7 +9,7 @@ from tesserae.functions import geo
 from tesserae.plans.agg import _LAT, _LON
 from tesserae.registry import query
 from tesserae.sources.tables import cte
-from tesserae.streaming import streams
+from tesserae.streaming import ordered, streams
 
 
 def _requests(e: DataFrame) -> DataFrame:
@@ -46,3 +46,16 @@ def stream_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = (F.col("o_orderkey") * 3).cast("double")
     u = o.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("seq"), t.alias("t"), t.alias("arrived"), acc.alias("accuracy"), (F.col("o_custkey") * 7919 % 16000 / F.lit(100.0) - 80).alias("lat"), F.lit(0.0).alias("lon"))
     return streams.drained(streams.fused(u), "append")
+
+
+@query(
+    """WITH u AS (SELECT user_id % 200 AS source_id, event_id AS seq, epoch_us(ts) / CAST(1000000 AS DOUBLE) AS t FROM events),
+o AS (SELECT *, lag(t) OVER w AS before, lead(t) OVER w AS after, max(t) OVER () AS newest FROM u WINDOW w AS (PARTITION BY source_id ORDER BY t, seq))
+SELECT source_id, t, TRUE AS connected FROM o WHERE before IS NULL OR t - before > 86400
+UNION ALL SELECT source_id, t + 86400, FALSE FROM o WHERE coalesce(after - t > 86400, floor(newest * 1000) / 1000 > t + 86400)"""
+)
+def stream_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When users come and go: one who is silent for a day is gone, found by a timer, as no row says so."""
+    e = streams.read(spark, sf_dir, "events")
+    u = e.select((F.col("user_id") % 200).alias("source_id"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"))
+    return streams.drained(ordered.connections(u, "0 seconds", 86_400.0), "append")

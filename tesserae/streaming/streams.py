@@ -4,16 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tesserae.operators import state
-from tesserae.ship import ship
+from tesserae.streaming import ordered
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,22 +44,17 @@ def windowed(events: DataFrame, late: str = "1 day", width: str = "1 day") -> Da
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("bytes").alias("bytes"))
 
 
-def fused(updates: DataFrame) -> DataFrame:
+def fused(updates: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """(source_id, seq, t, arrived, accuracy, lat, lon) to the accepted updates, with the state kept per source between batches.
 
-    Rows are taken as they arrive, and by seq within an Arrow batch: a key's rows stream by and are never gathered.
+    Rows are taken by t, then seq, behind a watermark of `delay`: with none, what one batch brings is in order, and rows of a later batch that are
+    older are left out.
     """
-    ship(updates.sparkSession)
-    fields = ("t", "accuracy", "lat", "lon")
+    fields = ("accuracy", "lat", "lon")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip(fields, held.get)) if held.exists else None
-        for rows in batches:
-            out = []
-            for r in rows.sort_values("seq").to_dict("records"):
-                s, o = state.fusion(s, r)
-                out.append({"source_id": key[0], "seq": r["seq"], "accepted": bool(o["accepted"]), "lat": round(o["lat"], 6), "accuracy": o["accuracy"]})
-            yield pd.DataFrame(out)
-        held.update(tuple(float(s[f]) for f in fields))
+    def step(s: dict | None, r: tuple) -> tuple[dict, list[tuple]]:
+        t, seq, arrived, *rest = r
+        s, o = state.fusion(s, {"t": t, "arrived": arrived, **dict(zip(fields, rest))})
+        return s, [(seq, bool(o["accepted"]), round(o["lat"], 6), o["accuracy"])]
 
-    return updates.groupBy("source_id").applyInPandasWithState(step, "source_id long, seq long, accepted boolean, lat double, accuracy double", "t double, accuracy double, lat double, lon double", "append", GroupStateTimeout.NoTimeout)
+    return ordered.in_order(updates, "source_id", "t", ["seq"], ["arrived", *fields], delay, step, None, "source_id long, seq long, accepted boolean, lat double, accuracy double")
