@@ -65,12 +65,8 @@ def _flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TO = """CASE WHEN climb THEN 'cruise' WHEN wanted IS NULL THEN NULL WHEN want = wanted AND t - wf >= CASE WHEN phase = 'cruise' THEN 15 ELSE 2 END THEN wanted END"""
 
 
-@query(
-    "WITH RECURSIVE "
-    + cte("positions")[5:]
-    + _T
-    + f""", g AS (SELECT source_id, seq, n, t, CAST(seq * 13 % 97 AS DOUBLE) AS knots, CAST(seq * 7 % 2500 AS DOUBLE) AS msl FROM e),
-f AS (SELECT source_id, seq, n, t, 'ground' AS phase, t AS since, NULL::DOUBLE AS pm, CASE WHEN knots >= 40 THEN 'transition' END AS want, CASE WHEN knots >= 40 THEN t END AS wf, FALSE AS changed, 'idle' AS mode, NULL::DOUBLE AS ts FROM g WHERE n = 1 UNION ALL
+#: Phases and the throttle over g (source_id, seq, n, t, knots, msl), as f.
+PHASES = f"""f AS (SELECT source_id, seq, n, t, 'ground' AS phase, t AS since, NULL::DOUBLE AS pm, CASE WHEN knots >= 40 THEN 'transition' END AS want, CASE WHEN knots >= 40 THEN t END AS wf, FALSE AS changed, 'idle' AS mode, NULL::DOUBLE AS ts FROM g WHERE n = 1 UNION ALL
 SELECT source_id, seq, n, t, phase, since, pm, want, wf, changed, CASE WHEN mode = 'ramping' AND t - ts >= 30 THEN 'idle' ELSE mode END, CASE WHEN mode = 'ramping' AND t - ts < 30 THEN ts END FROM
  (SELECT source_id, seq, n, t, coalesce(go, phase) AS phase, CASE WHEN go IS NULL THEN since ELSE t END AS since, CASE WHEN go IS NULL THEN pm WHEN go = 'transition' THEN msl END AS pm, CASE WHEN go IS NULL AND NOT climb AND wanted IS NOT NULL THEN wanted END AS want,
    CASE WHEN go IS NULL AND wanted IS NOT NULL THEN CASE WHEN want = wanted THEN wf ELSE t END END AS wf, go IS NOT NULL AS changed,
@@ -78,7 +74,15 @@ SELECT source_id, seq, n, t, phase, since, pm, want, wf, changed, CASE WHEN mode
   (SELECT *, {_TO} AS go FROM
    (SELECT g.*, f.phase, f.since, f.pm, f.want, f.wf, f.mode, f.ts, f.phase = 'transition' AND (coalesce(g.msl - f.pm >= 1000, FALSE) OR g.t - f.since >= 90) AS climb,
      CASE WHEN f.phase = 'transition' THEN CASE WHEN g.knots < 40 THEN 'ground' END WHEN f.phase = 'ground' THEN CASE WHEN g.knots >= 40 THEN 'transition' END WHEN g.knots < 40 THEN 'ground' END AS wanted
-    FROM f JOIN g ON g.source_id = f.source_id AND g.n = f.n + 1))))
+    FROM f JOIN g ON g.source_id = f.source_id AND g.n = f.n + 1))))"""
+
+
+@query(
+    "WITH RECURSIVE "
+    + cte("positions")[5:]
+    + _T
+    + f""", g AS (SELECT source_id, seq, n, t, CAST(seq * 13 % 97 AS DOUBLE) AS knots, CAST(seq * 7 % 2500 AS DOUBLE) AS msl FROM e),
+{PHASES}
 SELECT source_id, seq, phase, changed, mode, round(CASE mode WHEN 'idle' THEN 1 WHEN 'held' THEN 0 ELSE 0.25::DOUBLE + (t - ts) / 30 * 0.75::DOUBLE END, 6) AS share FROM f"""
 )
 def fsm_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
