@@ -18,9 +18,9 @@ def regions(entries: DataFrame) -> DataFrame:
     return entries.select("title").distinct()
 
 
-def airport(airports: DataFrame, icao: Column | str, any_case: bool = False) -> DataFrame:
-    code = F.col("icao")
-    return airports.where(F.upper(code) == F.upper(F.lit(icao)) if any_case else code == icao)
+def airport(airports: DataFrame, icao: Column | str) -> DataFrame:
+    """The airports of a code in any case."""
+    return airports.where(F.upper("icao") == F.upper(icao if isinstance(icao, Column) else F.lit(icao)))
 
 
 def valid_icao(code: Column) -> Column:
@@ -29,7 +29,9 @@ def valid_icao(code: Column) -> Column:
 
 
 def patches(files: DataFrame) -> DataFrame:
-    """(patch, dsf, ter, dds, has_nav, error) of the files (patch, path) below each patch: a patch needs a folder of navigation data with a cell file."""
+    """(patch, dsf, ter, dds, has_nav, error) of the files (patch, path) below each patch: a patch needs a folder of navigation data with a cell file. Folders
+    whose names begin with a dot are none."""
+    files = files.where(~F.startswith("patch", F.lit(".")))
     top = F.substring_index("path", "/", 1)
     count = lambda folder, ending: F.count_if((top == folder) & F.endswith(F.lower("path"), F.lit(ending)))
     g = files.groupBy("patch").agg(count("Earth nav data", ".dsf").alias("dsf"), count("terrain", ".ter").alias("ter"), count("textures", ".dds").alias("dds"), F.max(top == "Earth nav data").alias("has_nav"))

@@ -82,11 +82,12 @@ def scan_airports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.airports_of(_airports(spark, sf_dir))
 
 
-@query(f"WITH {_AIR} SELECT 'exact' AS how, icao, name FROM a WHERE icao = 'Q00A' UNION ALL SELECT 'any', icao, name FROM a WHERE icao = 'Q01C'")
+@query(f"WITH {_AIR} SELECT 'Q00A' AS asked, icao, name FROM a WHERE icao = 'Q00A' UNION ALL SELECT 'q00a', icao, name FROM a WHERE icao = 'Q00A' UNION ALL SELECT 'q01C', icao, name FROM a WHERE icao = 'Q01C'")
 def join_airport_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes in any case."""
     a = files.airports_of(_airports(spark, sf_dir))
-    rows = lambda d, how: d.select(F.lit(how).alias("how"), "icao", "name")
-    return rows(catalogue.airport(a, "Q00A"), "exact").unionByName(rows(catalogue.airport(a, "q00a"), "none")).unionByName(rows(catalogue.airport(a, "q01c", True), "any"))
+    one, two, three = (catalogue.airport(a, c).select(F.lit(c).alias("asked"), "icao", "name") for c in ("Q00A", "q00a", "q01C"))
+    return one.unionByName(two).unionByName(three)
 
 
 # --- package lists and metadata -----------------------------------------------------------------------------------------------------------
@@ -173,11 +174,12 @@ def _patch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     n = F.col("l_partkey") % 97
     path = F.when((F.col("l_linenumber") == 1) & (F.col("l_suppkey") % 4 == 0), F.lit("readme.txt")).when(F.col("l_linenumber") == 1, F.concat(F.lit("Earth nav data/+10/"), _text(n), F.lit(".dsf"))).when(F.col("l_linenumber") == 2, F.concat(F.lit("terrain/"), _text(n), F.lit(".ter"))).when(F.col("l_linenumber") == 3, F.concat(F.lit("textures/"), _text(n), F.lit(".DDS"))).otherwise(F.concat(F.lit("Earth nav data/"), _text(n), F.lit(".txt")))
-    return li.select(F.concat(F.lit("p"), F.lpad(_text("l_suppkey"), 6, "0")).alias("patch"), path.alias("path"))
+    kind = F.when(F.col("l_suppkey") % 9 == 0, F.lit(".p")).otherwise(F.lit("p"))  # some are hidden
+    return li.select(F.concat(kind, F.lpad(_text("l_suppkey"), 6, "0")).alias("patch"), path.alias("path"))
 
 
 _PATCH = """f AS (SELECT 'p' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS patch, CASE WHEN l_linenumber = 1 AND l_suppkey % 4 = 0 THEN 'readme.txt' WHEN l_linenumber = 1 THEN 'Earth nav data/+10/' || l_partkey % 97 || '.dsf' WHEN l_linenumber = 2 THEN 'terrain/' || l_partkey % 97 || '.ter' WHEN l_linenumber = 3 THEN 'textures/' || l_partkey % 97 || '.DDS' ELSE 'Earth nav data/' || l_partkey % 97 || '.txt' END AS path
-  FROM lineitem),
+  FROM lineitem WHERE l_suppkey % 9 <> 0),
 v AS (SELECT patch, count(*) FILTER (path LIKE 'Earth nav data/%.dsf') AS dsf, count(*) FILTER (path LIKE 'terrain/%') AS ter, count(*) FILTER (path LIKE 'textures/%') AS dds, bool_or(path LIKE 'Earth nav data/%') AS has_nav FROM f GROUP BY patch),
 s AS (SELECT *, CASE WHEN NOT has_nav THEN 'no_nav_data' WHEN dsf = 0 THEN 'no_cells' END AS error FROM v)"""
 

@@ -52,15 +52,11 @@ def geo_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.positions(spark, sf_dir).withColumn("t", geo.try_chunk("lat", "lon", F.lit(16))).select("seq", "t.*")
 
 
-@query(
-    """WITH p(name, lat, lon, zoom) AS (VALUES ('top', 85.05112878, -180.0, 4), ('bottom', -85.05112878, 180.0, 4), ('over', 85.06, 0.0, 4), ('deep', 0.0, 0.0, 19), ('east', 0.0, 180.01, 4), ('mid', 0.0, 0.0, 18))
-SELECT name, CAST(CASE name WHEN 'top' THEN 0 WHEN 'bottom' THEN 15 WHEN 'mid' THEN 131072 ELSE -1 END AS BIGINT) AS "row", CAST(CASE name WHEN 'top' THEN 0 WHEN 'bottom' THEN 15 WHEN 'mid' THEN 131072 ELSE -1 END AS BIGINT) AS col FROM p"""
-)
+@query(cte("positions") + """ SELECT seq, abs(lat * 1.1::DOUBLE) <= 85.05112878 AND abs(lon * 1.01::DOUBLE) <= 180 AND seq % 23 <= 18 AS has_tile FROM positions""")
 def geo_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points on and beyond the limits of the projection."""
-    p = [("top", 85.05112878, -180.0, 4), ("bottom", -85.05112878, 180.0, 4), ("over", 85.06, 0.0, 4), ("deep", 0.0, 0.0, 19), ("east", 0.0, 180.01, 4), ("mid", 0.0, 0.0, 18)]
-    t = geo.try_tile("lat", "lon", "zoom")
-    return spark.createDataFrame(p, "name string, lat double, lon double, zoom int").select("name", *[F.coalesce(t[c], F.lit(-1)).alias(c) for c in ("row", "col")])
+    """Which points have a tile: positions drawn out beyond the limits of the projection, at zooms beyond the last."""
+    p = tables.positions(spark, sf_dir).select("seq", (F.col("lat") * 1.1).alias("lat"), (F.col("lon") * 1.01).alias("lon"), (F.col("seq") % 23).cast("int").alias("zoom"))
+    return p.select("seq", geo.try_tile("lat", "lon", "zoom")["row"].isNotNull().alias("has_tile"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.functions import geo, text
+from tesserae.functions import binary, geo, text
 
 
 def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -68,17 +68,32 @@ def airports(spark: SparkSession, path: str) -> DataFrame:
     Records 1, 16 and 17 begin a block; 1302 datum_lat and datum_lon give its place, else the first record 100 to 102 that comes with
     coordinates in columns ten and eleven while the place is incomplete. Blocks without a place are left out.
     """
-    return airports_of(_lines(spark, path, "*"))
+    return airports_of(_split_lines(spark, path))
+
+
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, n, line): files are read by splits of Spark's size, so a large file is many tasks' work. n is a line's place among the lines of its
+    split, split the place of its first byte in the file."""
+    t = spark.read.option("recursiveFileLookup", "true").text(path)
+    return t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"\r$", "").alias("line"))
 
 
 def airports_of(lines: DataFrame) -> DataFrame:
-    """The same from lines (file, n, line)."""
-    t = lines
+    """The same from lines (file, n, line), or (file, split, n, line) with n in the order of a split's lines.
+
+    Blocks are numbered in two steps, as no task sees a whole file: heads within each split, and heads of the splits before.
+    """
+    t = lines if "split" in lines.columns else lines.withColumn("split", F.lit(0).cast("long"))
     w = F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")
     t = t.withColumn("w", w).withColumn("code", F.get("w", F.lit(0)))
     head = F.col("code").isin("1", "16", "17") & (F.size("w") >= 6) & _number(F.get("w", F.lit(1)), "float").isNotNull()
-    blocks = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("head", head).withColumn("block", F.sum(F.col("head").cast("int")).over(blocks)).where("block > 0")
+    head = F.coalesce(head, F.lit(False))
+    t = t.withColumn("head", head)
+    heads = t.groupBy("file", "split").agg(F.count_if("head").alias("heads"))  # one row per split
+    before = F.sum("heads").over(Window.partitionBy("file").orderBy("split")) - F.col("heads")
+    blocks = Window.partitionBy("file", "split").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.join(heads.select("file", "split", before.alias("before")), ["file", "split"])
+    t = t.withColumn("block", F.sum(F.col("head").cast("int")).over(blocks) + F.col("before")).where("block > 0").withColumn("n", F.struct("split", "n"))
     value = lambda key, most: F.when((F.col("code") == "1302") & (F.get("w", F.lit(1)) == key) & _number(F.get("w", F.lit(2)), "double").between(-most, most), _number(F.get("w", F.lit(2)), "double"))
     lat, lon = _number(F.get("w", F.lit(9)), "double"), _number(F.get("w", F.lit(10)), "double")
     runway = F.when(F.col("code").isin("100", "101", "102") & lat.between(-90, 90) & lon.between(-180, 180), F.struct("n", lat.alias("lat"), lon.alias("lon")))
@@ -164,6 +179,29 @@ def packets(lines: DataFrame) -> DataFrame:
     ).where("kind is not null")
 
 
+# Bytes of the head of a DATA packet and of each of its records; numbers of the records that are read.
+DATA_HEAD, DATA_RECORD = 5, 36
+SPEEDS, HEADINGS, POSITION = 3, 17, 20
+
+
+def data_packets(packets_: DataFrame) -> DataFrame:
+    """(seq, packet) with binary DATA packets to (seq, lat, lon, altitude_ft, heading, knots), decoded in generated code.
+
+    After the head come whole records of a number and eight floats; a rest that is no whole record does not count. Of records of one number the last
+    counts, and packets without any that is read are left out, as are those of another kind. Headings are from 0 to 360.
+    """
+    own = packets_.where((F.substring("packet", 1, 4) == F.lit(b"DATA")) & (F.length("packet") >= DATA_HEAD))
+    n = F.floor((F.length("packet") - DATA_HEAD) / DATA_RECORD).cast("int")
+    at = lambda i: i * DATA_RECORD + DATA_HEAD
+    r = own.where(n > 0).select("seq", "packet", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).withColumn("kind", binary.word("packet", at(F.col("i"))))
+    bits = [binary.word("packet", at(F.col("i")) + 4 + 4 * k).alias(f"b{k}") for k in range(4)]
+    r = r.where(F.col("kind").isin(SPEEDS, HEADINGS, POSITION)).select("seq", "i", "kind", *bits)
+    r = r.select("seq", "i", "kind", *[binary.float_of(F.col(f"b{k}")).alias(f"v{k}") for k in range(4)])
+    last = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.struct("i", F.col(c).alias("v"))))["v"]
+    g = r.groupBy("seq").agg(last(POSITION, "v0").alias("lat"), last(POSITION, "v1").alias("lon"), last(POSITION, "v3").alias("altitude_ft"), last(HEADINGS, "v2").alias("heading"), last(SPEEDS, "v3").alias("knots"))
+    return g.withColumn("heading", F.pmod("heading", F.lit(360.0)))
+
+
 # How the first lines of package lists and metadata end; a publisher's name is before it.
 LIST_HEAD, METADATA_HEAD = "REGIONAL SCENERY PACKAGE LIBRARY", "REGIONAL SCENERY PACKAGE"
 

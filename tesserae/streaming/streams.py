@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tesserae.operators import state
+from tesserae.sources.shared import scratch
 from tesserae.streaming import ordered
 
 
@@ -22,10 +20,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drained(df: DataFrame, mode: str) -> DataFrame:
     """What a stream over all that is there now writes, read from the shared folder it is written to; a complete result replaces the one before."""
     spark = df.sparkSession
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    at = f"{where or tempfile.mkdtemp(prefix='tesserae-')}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     w = df.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "complete":
         w = w.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/rows/batch={n}"))

@@ -9,7 +9,7 @@ def put(path, text):
 
 
 def test_terrain(spark, tmp_path):
-    put(tmp_path / "a/100_200_BI18.ter", "A\n800\nLOAD_CENTER 43.48 1.09 7098 4096\nBASE_TEX_NOWRAP ../textures/1600_3200_BI18.dds\nBASE_TEX ../textures/1616_3216_GO218.dds\n")
+    put(tmp_path / "a/100_200_BI18.ter", "A\n800\nLOAD_CENTER -12.25 77.5 900 2048\nBASE_TEX_NOWRAP ../textures/1600_3200_BI18.dds\nBASE_TEX ../textures/1616_3216_GO218.dds\n")
     put(tmp_path / "a/1600_3200_BI18_sea.ter", "LOAD_CENTER 44.5 2.5 1 1\nBASE_TEX ../textures/1600_3200_BI18.dds\n")
     put(tmp_path / "a/bad.ter", "LOAD_CENTER x\n")
     got = sorted(files.terrain(spark, str(tmp_path)).select("row", "zoom", "provider", "is_sea").collect())
@@ -48,9 +48,9 @@ def test_listings(spark, tmp_path):
 
 
 def test_packets(spark):
-    d = spark.createDataFrame([(1, "XGPSx,-80.11,34.55,1200.1,359.05,55.6"), (2, "XATTx,180.2,0.1,0.2"), (3, "junk")], "seq int, packet string")
+    d = spark.createDataFrame([(1, "XGPSq,12.5,-7.25,640.0,41.5,30.0"), (2, "XATTq,66.5,0.5,1.5"), (3, "junk")], "seq int, packet string")
     got = {r.seq: r for r in files.packets(d).collect()}
-    assert set(got) == {1, 2} and got[1].lat == 34.55 and round(got[1].knots, 3) == 108.078 and got[2].heading == 180.2
+    assert set(got) == {1, 2} and got[1].lat == -7.25 and round(got[1].knots, 3) == 58.315 and got[2].heading == 66.5
 
 
 def test_geojson(spark):

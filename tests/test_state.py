@@ -125,6 +125,7 @@ def test_texture_size():
 
 
 def test_stream_equals_batch(spark, sf):
+    from tesserae import plans  # noqa: F401  fills the registry
     from tesserae.registry import QUERIES
 
     got = {r.seq: r.accepted for r in QUERIES["stream_fusion"](spark, sf).collect()}
