@@ -653,8 +653,8 @@ def test_stages(spark, sf):
             assert before - after == {r.doc_id for r in quality.scored(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("not kept").collect()}
         if name == "near_duplicates":
             text = {r.doc_id: r.text or "" for r in docs.collect()}
-            fp, sh = {i: plain_fingerprint(x) for i, x in text.items()}, {i: set(zip(*(x.lower().split()[k:] for k in range(5)))) for i, x in text.items()}
-            alike = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3 or len(text[a].split()) >= 50 and len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b])
+            fp, sh = {i: plain_fingerprint(x) for i, x in text.items()}, {i: set(zip(*(w[k:] for k in range(5)))) or ({tuple(w)} if w else set()) for i, x in text.items() for w in [x.lower().split()]}
+            alike = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 3 or bool(sh[a] | sh[b]) and len(sh[a] & sh[b]) >= 0.8 * len(sh[a] | sh[b])
             assert after == set(plain_components(sorted(text), alike).values()) and out.count() == len(after)
         if name == "decontamination":
             assert before - after == {r.doc_id for r in decontaminate.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
