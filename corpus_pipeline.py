@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontaminate, mixing, quality, sharding, simhash, substring
+from tesserae.llm import decontaminate, mixing, quality, sharding, similarity, simhash
 from tesserae.llm.common import components, cut, shared_folder, small, table, whole
 
 #: Not SQL: language model scores, xxHash fingerprints and an edited slot map. The stages are tested against brute force.
@@ -39,7 +39,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = cut(simhash.simhash_groups(docs).withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("x"), "fingerprint"))).select("doc_id", "row", "group"))
     texts = groups.select("row", "group").where("row is not null").distinct()
     centre = texts.groupBy("group").agg(F.min("row").alias("low"))
-    links = texts.join(centre, "group").select(F.col("row").alias("a"), F.col("low").alias("b")).unionByName(substring.similar(docs).toDF("b", "a"))
+    links = texts.join(centre, "group").select(F.col("row").alias("a"), F.col("low").alias("b")).unionByName(similarity.similar(docs).toDF("b", "a"))
     groups = groups.join(components(links).toDF("row", "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = groups.groupBy(F.col("root").alias("of")).agg(F.min(place).alias("first"))
