@@ -25,7 +25,7 @@ from tesserae.llm.simhash import _runs
 
 LONGEST, LEAST, TOP, UNIT, COVERED = 3, 10, 2000, 1_000_000, 50
 #: Bytes of text in a chunk, one text at least.
-CHUNK = 16 << 20
+CHUNK = 4 << 20
 #: Parts of a language's phrases that are ranked first each on its own.
 SALTS = 16
 
