@@ -26,7 +26,7 @@ from tesserae.llm.simhash import _runs
 from tesserae.llm.substring import CHUNK, SIMILARITY, WORDS, _alike, _dealt, _packed, _verified, mixed
 
 #: Share of a set by which its prefix is longer than it must be, and of which as many must be shared.
-MORE = 0.05
+MORE = 0.15
 #: One text of so many is read for shingles that HOT of them or more have; the most frequent MOST of those come last in the order. What is
 #: found does not depend on it.
 SAMPLE, HOT, MOST = 64, 16, 1 << 17
@@ -124,6 +124,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     root = components(links, "low", "cls").withColumnsRenamed({"node": "cls", "root": "comp"})
     open_ = cut(_shared(rows.join(root, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "comp"))
+    for _ in range(rounds):  # and which share enough with texts that they are not connected with
+        open_ = cut(_shared(_viable(open_, similarity), "comp"))
     edges = open_.select("cls", F.min("cls").over(Window.partitionBy("h")).alias("b")).distinct()
     blob = components(edges, "cls", "b").withColumnsRenamed({"node": "cls", "root": "key"})
     left = cut(open_.select("cls", "comp").distinct().join(blob, "cls"))
