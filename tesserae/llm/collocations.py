@@ -36,7 +36,8 @@ _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_WORDS = "chunk long, code int, lang string, word string, n long, seq binary"
+_WORDS = "chunk long, langs array<string>, of binary, words binary, n binary, seq binary"
+_LISTED = "chunk long, code int, lang string, word string, n long"
 _PACKED = "chunk long, pairs binary, seq binary"
 _PAIRS = "chunk long, code int, left long, right long, n long"
 
@@ -80,7 +81,7 @@ def _unpacked(z: pa.Scalar, kind: type) -> np.ndarray:
 
 def _words(docs: DataFrame, most: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, columns = _names(), ["chunk", "code", "lang", "word", "n", "seq"]
+        names, columns = _names(), ["chunk", "langs", "of", "words", "n", "seq"]
         for b in batches:
             every = b.column(0).dictionary_encode()
             for i, j in pieces(b.column(1), most):
@@ -92,15 +93,30 @@ def _words(docs: DataFrame, most: int) -> DataFrame:
                 size = len(d.dictionary)
                 code, key, n = _coded(every.indices[i:j].to_numpy()[doc].astype(np.int64) * size + d.indices.to_numpy())
                 seq = np.insert(code, np.flatnonzero(~on), -1).astype(np.int32)
-                chunk, m = next(names), len(n)
-                told = (every.dictionary.take(pa.array(key // size)), d.dictionary.take(pa.array(key % size)), pa.array(n))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, chunk)), pa.array(np.arange(m), pa.int32()), *told, pa.nulls(m, pa.binary())], columns)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.nulls(1, x.type) for x in (pa.array([], pa.int32()), *told)), pa.array([_packed(seq)], pa.binary())], columns)
+                held = d.dictionary.take(pa.array(key % size)).to_pylist()  # no word holds a line's end
+                z = zstandard.ZstdCompressor(level=1).compress("\n".join(held).encode())
+                told = [_packed((key // size).astype(np.int32)), z, _packed(n.astype(np.int64)), _packed(seq)]
+                yield pa.RecordBatch.from_arrays([pa.array([next(names)]), pa.array([every.dictionary.to_pylist()], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in told)], columns)
 
     own = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.col("text")).where("text is not null")
     return cut(in_arrow(own, run, _WORDS))
 
 
+def _listed_words(packed: DataFrame) -> DataFrame:
+    """(chunk, code, lang, word, n) of all chunks' lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, langs, of, words, n in zip(*(b.column(i) for i in range(5))):
+                own = zstandard.ZstdDecompressor().decompress(words.as_buffer()).decode().split("\n")
+                of, n = _unpacked(of, np.int32), _unpacked(n, np.int64)
+                for i in range(0, len(n), 1 << 16):
+                    j = min(i + (1 << 16), len(n))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, chunk.as_py())), pa.array(np.arange(i, j), pa.int32()), langs.values.take(pa.array(of[i:j])), pa.array(own[i:j], pa.string()), pa.array(n[i:j])], ["chunk", "code", "lang", "word", "n"])
+
+    return in_arrow(packed.select("chunk", "langs", "of", "words", "n"), run, _LISTED)
+
+
 def _paired(lists: DataFrame, seqs: DataFrame, named: DataFrame, on: list[str]) -> DataFrame:
     """The pairs of adjacent places of each chunk that have frequent ids (named: columns `on` and id), packed: one row per chunk, of the list of its
     pairs and its sequence of codes into it."""
@@ -182,7 +198,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     Repeated rows count each. No words give no rows. Other columns are not read.
     """
     rows = _words(docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")), chunk)
-    lists, seqs = rows.where("seq is null"), rows.where("seq is not null").select("chunk", "seq")
+    lists, seqs = _listed_words(rows), rows.select("chunk", "seq")
     words = _numbered(_counted(lists, ["lang", "word"]))
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     level = words.where(F.col("f") >= least).select("id", "lang", "word", "f", F.col("word").alias("phrase"), F.array().cast("array<long>").alias("pre"), F.array().cast("array<long>").alias("suf"))
