@@ -30,8 +30,8 @@ MORE = 0.15
 #: One text of so many is read for shingles that HOT of them or more have; the most frequent MOST of those come last in the order. What is
 #: found does not depend on it.
 SAMPLE, HOT, MOST = 64, 16, 1 << 17
-#: Rounds in which texts that cannot have a partner are looked for.
-ROUNDS = 3
+#: Rounds in which texts that cannot have a partner are looked for, before and after the first links; each spares comparisons, and costs jobs.
+ROUNDS = 1
 
 
 def more(n: int) -> int:
