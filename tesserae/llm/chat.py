@@ -28,7 +28,7 @@ def _list(items: str, role: str, text: str) -> Column:
 
 
 def _roles(turns: Column) -> Column:
-    """Names of other layouts for the three roles."""
+    """The layout of `from` and `value` has other names for the roles."""
     names = F.create_map(*(F.lit(x) for pair in {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}.items() for x in pair))
     return F.transform(turns, lambda t: F.struct(F.coalesce(names[t["role"]], t["role"]).alias("role"), t["text"].alias("text")))
 
@@ -58,7 +58,7 @@ def _prompt(answer: str) -> Callable[[frozenset[str]], Column]:
 
 LAYOUTS = (
     Layout("messages", ("messages[].role", "messages[].content"), ("system",), lambda have: _before("system", have, _list("messages", "role", "content"))),
-    Layout("from_value", ("conversations[].from", "conversations[].value"), ("system",), lambda have: _before("system", have, _list("conversations", "from", "value"))),
+    Layout("from_value", ("conversations[].from", "conversations[].value"), ("system",), lambda have: _before("system", have, _roles(_list("conversations", "from", "value")))),
     Layout("turns", ("turns[].role", "turns[].text"), (), lambda have: _list("turns", "role", "text")),
     Layout("instruction", ("instruction", "output"), ("input", "system"), _instruction),
     Layout("prompt_response", ("prompt", "response"), ("system",), _prompt("response")),
@@ -118,7 +118,7 @@ def canonical(records: DataFrame) -> DataFrame:
                 have = frozenset((*x.needs, *extra))
                 hit = F.col(mark) == fingerprint_of(have)
                 layout, turns = F.when(hit, F.lit(x.name)).otherwise(layout), F.when(hit, x.turns(have).cast(TURNS)).otherwise(turns)
-    out = records.withColumn(mark, fp).withColumn(named, layout).withColumn(made, _roles(turns))
+    out = records.withColumn(mark, fp).withColumn(named, layout).withColumn(made, turns)
     return out.drop("fingerprint", "layout", "turns").withColumnsRenamed({mark: "fingerprint", named: "layout", made: "turns"})
 
 

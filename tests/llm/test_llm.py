@@ -741,3 +741,15 @@ def test_stages_odd(spark, sf, odd, none):
         for _, f in p.STAGES:
             assert set(d.columns) <= set(f(spark, d, sf).columns)
             assert f(spark, d, sf).count() <= 2 * d.count()
+
+
+def test_chat_roles_as_they_are(spark, duck):
+    """The query's layout keeps every role; names of the other layout are not taken for the three, and null is empty."""
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (1, 2, "assistant", "c"), (2, 0, None, "d"), (2, 1, "assistant", None), (3, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {r.conv_id: r for r in chat.digest(chat.formatted(chat.canonical(chat.by_turn(df)))).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for c in (1, 2, 3):
+        own = [(r or "", t or "") for i, _, r, t in rows if i == c]
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_sha256, got[c].loss_chars) == (len(own), sha("".join(f"{r}\n{t}\n" for r, t in own)), sha(loss), len(loss))
