@@ -53,14 +53,6 @@ def _packed(seq: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(seq).tobytes())
 
 
-def _names() -> Iterator[int]:
-    """Numbers of chunks, of this task alone."""
-    i = TaskContext.get().partitionId() << 33
-    while True:
-        yield i
-        i += 1
-
-
 def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """All words of the texts, lower-case, the text of each, and whether the word before it is in the same piece."""
     x = np.frombuffer(b"\n".join(texts), np.uint8)
@@ -80,8 +72,10 @@ def _unpacked(z: pa.Scalar, kind: type) -> np.ndarray:
 
 
 def _words(docs: DataFrame, most: int) -> DataFrame:
+    """Chunks, numbered by how many words the task had before, so that a chunk's number plus a code is nothing else's number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, columns = _names(), ["chunk", "langs", "of", "words", "n", "seq"]
+        name, columns = TaskContext.get().partitionId() << 33, ["chunk", "langs", "of", "words", "n", "seq"]
         for b in batches:
             every = b.column(0).dictionary_encode()
             for i, j in pieces(b.column(1), most):
@@ -96,7 +90,8 @@ def _words(docs: DataFrame, most: int) -> DataFrame:
                 held = d.dictionary.take(pa.array(key % size)).to_pylist()  # no word holds a line's end
                 z = zstandard.ZstdCompressor(level=1).compress("\n".join(held).encode())
                 told = [_packed((key // size).astype(np.int32)), z, _packed(n.astype(np.int64)), _packed(seq)]
-                yield pa.RecordBatch.from_arrays([pa.array([next(names)]), pa.array([every.dictionary.to_pylist()], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in told)], columns)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([every.dictionary.to_pylist()], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in told)], columns)
+                name += len(words)
 
     own = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.col("text")).where("text is not null")
     return cut(in_arrow(own, run, _WORDS))
@@ -117,12 +112,12 @@ def _listed_words(packed: DataFrame) -> DataFrame:
     return in_arrow(packed.select("chunk", "langs", "of", "words", "n"), run, _LISTED)
 
 
-def _paired(lists: DataFrame, seqs: DataFrame, named: DataFrame, on: list[str]) -> DataFrame:
-    """The pairs of adjacent places of each chunk that have frequent ids (named: columns `on` and id), packed: one row per chunk, of the list of its
+def _paired(ids: DataFrame, seqs: DataFrame) -> DataFrame:
+    """The pairs of adjacent places of each chunk that have frequent ids (chunk, code, id), packed: one row per chunk, of the sorted list of its
     pairs and its sequence of codes into it."""
-    ids = lists.join(small(named.select(*on, "id")), on).select("chunk", "code", "id", F.lit(None).cast("binary").alias("seq"))
+    ids = ids.select("chunk", "code", "id", F.lit(None).cast("binary").alias("seq"))
     both = ids.unionByName(seqs.select("chunk", F.lit(None).cast("int").alias("code"), F.lit(None).cast("long").alias("id"), "seq"))
-    both = both.repartition(parts(lists.sparkSession), "chunk").sortWithinPartitions("chunk")
+    both = both.repartition(parts(ids.sparkSession), "chunk").sortWithinPartitions("chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["chunk"]):
@@ -134,6 +129,7 @@ def _paired(lists: DataFrame, seqs: DataFrame, named: DataFrame, on: list[str])
                 if not len(told):
                     continue
                 seq = _unpacked(g.column("seq").filter(pa.compute.is_valid(g.column("seq")))[0], np.int32)
+                told = told.sort_by("id")
                 code, ident = told.column("code").to_numpy(), told.column("id").to_numpy()
                 place = np.full(max(int(seq.max()), int(code.max())) + 2, -1)  # the last one is what -1 reads
                 place[code] = np.arange(len(code))
@@ -142,8 +138,12 @@ def _paired(lists: DataFrame, seqs: DataFrame, named: DataFrame, on: list[str])
                 if not len(pair):
                     continue
                 c, key, n = _coded(own[pair].astype(np.int64) * len(code) + own[pair + 1])
+                order = np.argsort(key)
+                key, n = key[order], n[order]
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(len(order))
                 new = np.full(len(seq) - 1, -1, np.int32)
-                new[pair] = c
+                new[pair] = rank[c]
                 pairs = np.concatenate([ident[key // len(code)], ident[key % len(code)], n])
                 yield pa.RecordBatch.from_arrays([pa.array([name[i]]), pa.array([_packed(pairs)], pa.binary()), pa.array([_packed(new)], pa.binary())], ["chunk", "pairs", "seq"])
 
@@ -168,6 +168,14 @@ def _counted(rows: DataFrame, on: list[str]) -> DataFrame:
     return rows.groupBy(*on).agg(F.sum("n").alias("f"))
 
 
+def _frequent(lists: DataFrame, least: int) -> DataFrame:
+    """(chunk, code, left, right, f, id) of all places in lists whose pair is there `least` times over all; stored. One shuffle counts, names and
+    answers: a pair has one row per list at most, and its id is the smallest chunk plus code of them."""
+    same = Window.partitionBy("left", "right")
+    rows = lists.withColumns({"f": F.sum("n").over(same), "id": F.min(F.col("chunk") + F.col("code")).over(same)})
+    return cut(rows.where(F.col("f") >= least).drop("n"))
+
+
 def _numbered(df: DataFrame) -> DataFrame:
     """With ids, which hold from here on as the table is stored."""
     return cut(df.withColumn("id", F.monotonically_increasing_id()))
@@ -177,7 +185,7 @@ def _lengthened(pairs: DataFrame, shorter: DataFrame) -> DataFrame:
     """Frequent pairs of ids with what comes down from both parents: pre and suf are the counts of their beginnings and ends of 1, 2, ... words."""
     a = shorter.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("pre", F.array("f")).alias("pre"))
     b = shorter.select(F.col("id").alias("right"), "word", F.concat("suf", F.array("f")).alias("suf"))
-    return pairs.join(small(a), "left").join(small(b), "right").select("left", "right", "f", "lang", F.concat_ws(" ", "head", "word").alias("phrase"), "word", "pre", "suf")
+    return pairs.join(small(a), "left").join(small(b), "right").select("id", "left", "right", "f", "lang", F.concat_ws(" ", "head", "word").alias("phrase"), "word", "pre", "suf")
 
 
 def _scored(level: DataFrame, unit: int) -> DataFrame:
@@ -202,12 +210,16 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     words = _numbered(_counted(lists, ["lang", "word"]))
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     level = words.where(F.col("f") >= least).select("id", "lang", "word", "f", F.col("word").alias("phrase"), F.array().cast("array<long>").alias("pre"), F.array().cast("array<long>").alias("suf"))
-    on, found = ["lang", "word"], []
+    ids, found = lists.join(small(level.select("lang", "word", "id")), ["lang", "word"]).select("chunk", "code", "id"), []
     for k in range(2, longest + 1):
-        packed = _paired(lists, seqs, level, on)
-        packed = packed if k == longest else cut(packed)
-        lists, seqs, on = _listed(packed), packed.select("chunk", "seq"), ["left", "right"]
-        longer = _numbered(_lengthened(_counted(lists, on).where(F.col("f") >= least), level))
+        packed = _paired(ids, seqs)
+        if k < longest:
+            packed = cut(packed)
+            seqs, ids = packed.select("chunk", "seq"), _frequent(_listed(packed), least)
+            pairs = ids.where("id = chunk + code").select("id", "left", "right", "f")
+        else:
+            pairs = _counted(_listed(packed), ["left", "right"]).where(F.col("f") >= least).withColumn("id", F.lit(None).cast("long"))  # no parents
+        longer = cut(_lengthened(pairs, level))
         if k > 2:
             inside = longer.select(F.explode(F.array("left", "right")).alias("id"), "f").groupBy("id").agg(F.max("f").alias("inside"))
             level = level.join(inside, "id", "left").where(F.coalesce(100 * F.col("inside") < covered * F.col("f"), F.lit(True)))
