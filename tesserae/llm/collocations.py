@@ -6,7 +6,9 @@ a chunk's different pairs are counted over all chunks, and pairs that are freque
 parts. A pair of the ids of w1..wk-1 and w2..wk is the phrase w1..wk, so a phrase's pair points to its longest beginning and its longest
 end: counts of all beginnings and ends come down these pointers, and a phrase lies in a longer one if it is one of its parents.
 
-Only lists of different words and pairs are shuffled, not places. A chunk's sequence stays in the shared folder from one length to the next.
+Only lists of different words and pairs are shuffled, not places. A chunk's list of pairs is cut into buckets by the pairs' hashes, each a packed
+row; a bucket's task counts the pairs of all lists, names the frequent ones and answers each list. A chunk's sequence stays in the shared
+folder from one length to the next.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from tesserae.llm.simhash import _runs
 LONGEST, LEAST, TOP, UNIT, COVERED = 3, 10, 2000, 1_000_000, 50
 #: Bytes of text in a chunk, one text at least.
 CHUNK = 4 << 20
+#: Words of the corpus for which there is one more bucket of pairs.
+BUCKET = 1 << 21
 #: Parts of a language's phrases that are ranked first each on its own.
 SALTS = 16
 
@@ -38,8 +42,9 @@ _LOWER[65:91] += 32
 
 _WORDS = "chunk long, langs array<string>, of binary, words binary, n binary, seq binary"
 _LISTED = "chunk long, code int, lang string, word string, n long"
-_PACKED = "chunk long, pairs binary, seq binary"
-_PAIRS = "chunk long, code int, left long, right long, n long"
+_PACKED = "chunk long, bucket long, pairs binary, seq binary"
+_ANSWERS = "chunk long, told binary, named binary"
+_NAMED = "id long, left long, right long, f long"
 
 
 def _coded(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,8 +54,9 @@ def _coded(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, d.dictionary.to_numpy(), np.bincount(code, minlength=len(d.dictionary))
 
 
-def _packed(seq: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(seq).tobytes())
+def _packed(x: np.ndarray) -> bytes:
+    """Compressed, first bytes of all numbers first."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
 def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -68,7 +74,8 @@ def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _unpacked(z: pa.Scalar, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(z.as_buffer()), kind)
+    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(z.as_buffer()), np.uint8)
+    return np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _words(docs: DataFrame, most: int) -> DataFrame:
@@ -112,70 +119,135 @@ def _listed_words(packed: DataFrame) -> DataFrame:
     return in_arrow(packed.select("chunk", "langs", "of", "words", "n"), run, _LISTED)
 
 
-def _paired(ids: DataFrame, seqs: DataFrame) -> DataFrame:
-    """The pairs of adjacent places of each chunk that have frequent ids (chunk, code, id), packed: one row per chunk, of the sorted list of its
-    pairs and its sequence of codes into it."""
-    ids = ids.select("chunk", "code", "id", F.lit(None).cast("binary").alias("seq"))
-    both = ids.unionByName(seqs.select("chunk", F.lit(None).cast("int").alias("code"), F.lit(None).cast("long").alias("id"), "seq"))
+def _bucket(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
+    h = left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.view(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _paired(ids: DataFrame, seqs: DataFrame, buckets: int) -> DataFrame:
+    """The pairs of adjacent places of each chunk that have frequent ids: one row per chunk with its sequence of codes into the sorted list of its pairs,
+    and one per bucket of the list, packed. ids are rows (chunk, code, id) or (chunk, told), many of them packed."""
+    both = ids.unionByName(seqs.select("chunk", "seq"), allowMissingColumns=True)
     both = both.repartition(parts(ids.sparkSession), "chunk").sortWithinPartitions("chunk")
+    valid = lambda x: x.filter(pa.compute.is_valid(x))
+
+    def lists(g: pa.Table, chunk: int) -> Iterator[tuple]:
+        if "told" in g.column_names:
+            told = [_unpacked(z, np.int64).reshape(2, -1) for z in valid(g.column("told"))]
+            code, ident = np.concatenate(told, axis=1) if told else np.zeros((2, 0), np.int64)
+        else:
+            code, ident = valid(g.column("code")).to_numpy(), valid(g.column("id")).to_numpy()
+        if not len(code):
+            return
+        order = np.argsort(ident)
+        code, ident = code[order], ident[order]
+        seq = _unpacked(valid(g.column("seq"))[0], np.int32)
+        place = np.full(max(int(seq.max()), int(code.max())) + 2, -1)  # the last one is what -1 reads
+        place[code] = np.arange(len(code))
+        own = place[seq]
+        pair = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0))
+        if not len(pair):
+            return
+        c, key, n = _coded(own[pair].astype(np.int64) * len(code) + own[pair + 1])
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        new = np.full(len(seq) - 1, -1, np.int32)
+        new[pair] = rank[c]
+        yield chunk, None, None, _packed(new)
+        left, right = ident[key // len(code)], ident[key % len(code)]
+        bucket = _bucket(left, right, buckets)
+        by = np.argsort(bucket, kind="stable")
+        at = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+        for i, j in zip(at, [*at[1:], len(by)]):
+            k = by[i:j]
+            yield chunk, int(bucket[k[0]]), _packed(np.concatenate([np.diff(left[k], prepend=0), right[k], n[k], np.diff(k, prepend=0)])), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["chunk"]):
             name = t.column("chunk").to_numpy()
             at = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1), len(t)]
             for i, j in zip(at, at[1:]):
-                g = t.slice(i, j - i)
-                told = g.filter(pa.compute.is_valid(g.column("id")))
-                if not len(told):
-                    continue
-                seq = _unpacked(g.column("seq").filter(pa.compute.is_valid(g.column("seq")))[0], np.int32)
-                told = told.sort_by("id")
-                code, ident = told.column("code").to_numpy(), told.column("id").to_numpy()
-                place = np.full(max(int(seq.max()), int(code.max())) + 2, -1)  # the last one is what -1 reads
-                place[code] = np.arange(len(code))
-                own = place[seq]
-                pair = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0))
-                if not len(pair):
-                    continue
-                c, key, n = _coded(own[pair].astype(np.int64) * len(code) + own[pair + 1])
-                order = np.argsort(key)
-                key, n = key[order], n[order]
-                rank = np.empty(len(order), np.int32)
-                rank[order] = np.arange(len(order))
-                new = np.full(len(seq) - 1, -1, np.int32)
-                new[pair] = rank[c]
-                pairs = np.concatenate([ident[key // len(code)], ident[key % len(code)], n])
-                yield pa.RecordBatch.from_arrays([pa.array([name[i]]), pa.array([_packed(pairs)], pa.binary()), pa.array([_packed(new)], pa.binary())], ["chunk", "pairs", "seq"])
+                rows = list(lists(t.slice(i, j - i), int(name[i])))
+                if rows:
+                    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], ["chunk", "bucket", "pairs", "seq"])
 
     return in_arrow(both, run, _PACKED)
 
 
-def _listed(packed: DataFrame) -> DataFrame:
-    """(chunk, code, left, right, n) of all chunks' lists."""
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    t = pa.concat_tables(tables).group_by(["left", "right"], use_threads=False).aggregate([("n", "sum")])
+    return t.select(["left", "right", "n_sum"]).rename_columns(["left", "right", "n"])
+
+
+def _answers(packed: DataFrame, least: int, told: bool) -> DataFrame:
+    """Of each bucket the pairs that are there `least` times over all lists, with ids (named), and for each list the codes of these and their ids (told).
+
+    A task holds a bucket's lists as they are packed and its different pairs, not all their places at once; a pair is in a list once at most.
+    """
+
+    def pairs(z: pa.Scalar) -> list[np.ndarray]:
+        left, right, n, code = _unpacked(z, np.int64).reshape(4, -1)
+        return [np.cumsum(left), right, n, np.cumsum(code)]
+
+    def answered(bucket: int, chunks: np.ndarray, lists: pa.ChunkedArray) -> Iterator[tuple]:
+        held, size, most = [], 0, 1 << 20
+        for z in lists:
+            held.append(pa.table(dict(zip(("left", "right", "n"), pairs(z)))))
+            size += len(held[-1])
+            if size > most:
+                held = [_summed(held)]
+                size, most = 0, max(most, len(held[0]))
+        f = _summed(held)
+        f = f.filter(pa.compute.greater_equal(f.column("n"), least)).sort_by([("left", "ascending"), ("right", "ascending")])
+        if not len(f):
+            return
+        left, right, n = (f.column(i).to_numpy() for i in range(3))
+        ident = (bucket << 33) + np.arange(len(f))
+        yield None, None, _packed(np.concatenate([ident, left, right, n]))
+        if not told:
+            return
+        lefts, rights = np.unique(left), np.unique(right)
+        key = np.searchsorted(lefts, left) * len(rights) + np.searchsorted(rights, right)
+        find = lambda among, x: np.minimum(np.searchsorted(among, x), len(among) - 1)
+        for chunk, z in zip(chunks, lists):
+            a, b, _, code = pairs(z)
+            i, j = find(lefts, a), find(rights, b)
+            k = i * len(rights) + j
+            at = find(key, k)
+            ok = (lefts[i] == a) & (rights[j] == b) & (key[at] == k)
+            if ok.any():
+                yield int(chunk), _packed(np.concatenate([code[ok], ident[at[ok]]])), None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ["bucket"]):
+            bucket, chunk = t.column("bucket").to_numpy(), t.column("chunk").to_numpy()
+            at = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(t)]
+            for i, j in zip(at, at[1:]):
+                rows = list(answered(int(bucket[i]), chunk[i:j], t.column("pairs").slice(i, j - i)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), [pa.int64(), pa.binary(), pa.binary()])], ["chunk", "told", "named"])
+
+    own = packed.where("bucket is not null").select("bucket", "chunk", "pairs")
+    return in_arrow(own.repartition(parts(packed.sparkSession), "bucket").sortWithinPartitions("bucket"), run, _ANSWERS)
+
+
+def _named(answers: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, z in zip(b.column(0).to_pylist(), b.column(1)):
-                left, right, n = _unpacked(z, np.int64).reshape(3, -1)
-                for i in range(0, len(n), 1 << 17):
-                    j = min(i + (1 << 17), len(n))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, chunk)), pa.array(np.arange(i, j), pa.int32()), *(pa.array(x[i:j]) for x in (left, right, n))], ["chunk", "code", "left", "right", "n"])
+            for z in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(z, np.int64).reshape(4, -1)], ["id", "left", "right", "f"])
 
-    return in_arrow(packed.select("chunk", "pairs"), run, _PAIRS)
+    return in_arrow(answers.where("named is not null").select("named"), run, _NAMED)
 
 
 def _counted(rows: DataFrame, on: list[str]) -> DataFrame:
     return rows.groupBy(*on).agg(F.sum("n").alias("f"))
 
 
-def _frequent(lists: DataFrame, least: int) -> DataFrame:
-    """(chunk, code, left, right, f, id) of all places in lists whose pair is there `least` times over all; stored. One shuffle counts, names and
-    answers: a pair has one row per list at most, and its id is the smallest chunk plus code of them."""
-    same = Window.partitionBy("left", "right")
-    rows = lists.withColumns({"f": F.sum("n").over(same), "id": F.min(F.col("chunk") + F.col("code")).over(same)})
-    return cut(rows.where(F.col("f") >= least).drop("n"))
-
-
 def _numbered(df: DataFrame) -> DataFrame:
     """With ids, which hold from here on as the table is stored."""
     return cut(df.withColumn("id", F.monotonically_increasing_id()))
@@ -210,15 +282,14 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     words = _numbered(_counted(lists, ["lang", "word"]))
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     level = words.where(F.col("f") >= least).select("id", "lang", "word", "f", F.col("word").alias("phrase"), F.array().cast("array<long>").alias("pre"), F.array().cast("array<long>").alias("suf"))
+    buckets = max(parts(docs.sparkSession), (words.agg(F.sum("f")).first()[0] or 0) // BUCKET)
     ids, found = lists.join(small(level.select("lang", "word", "id")), ["lang", "word"]).select("chunk", "code", "id"), []
     for k in range(2, longest + 1):
-        packed = _paired(ids, seqs)
-        if k < longest:
-            packed = cut(packed)
-            seqs, ids = packed.select("chunk", "seq"), _frequent(_listed(packed), least)
-            pairs = ids.where("id = chunk + code").select("id", "left", "right", "f")
-        else:
-            pairs = _counted(_listed(packed), ["left", "right"]).where(F.col("f") >= least).withColumn("id", F.lit(None).cast("long"))  # no parents
+        packed = _paired(ids, seqs, buckets)
+        packed = cut(packed) if k < longest else packed
+        answers = _answers(packed, least, k < longest)
+        answers = cut(answers) if k < longest else answers
+        pairs, ids, seqs = _named(answers), answers.where("told is not null").select("chunk", "told"), packed.where("seq is not null").select("chunk", "seq")
         longer = cut(_lengthened(pairs, level))
         if k > 2:
             inside = longer.select(F.explode(F.array("left", "right")).alias("id"), "f").groupBy("id").agg(F.max("f").alias("inside"))
