@@ -75,7 +75,7 @@ def report_dedupe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MISSING = (
     cte("tile_refs")
     + SQL_OVERLAP
-    + f""", m AS (SELECT ref_id, r * 4 + i.range AS "row", c * 4 + j.range AS col, 18 AS zoom,
+    + f""", m AS (SELECT ref_id, r, c, r * 4 + i.range AS "row", c * 4 + j.range AS col, 18 AS zoom,
   CAST(CAST({sql_lat("r", "16", 0.5)} AS FLOAT) - CAST((CAST(i.range AS FLOAT) - CAST(2 AS FLOAT) + CAST(0.5 AS FLOAT)) / CAST(4 AS FLOAT) * CAST(0.5 AS FLOAT) AS FLOAT) AS FLOAT) AS lat,
   CAST(CAST({sql_lon("c", "16", 0.5)} AS FLOAT) + CAST((CAST(j.range AS FLOAT) - CAST(2 AS FLOAT) + CAST(0.5 AS FLOAT)) / CAST(4 AS FLOAT) * CAST(0.5 AS FLOAT) AS FLOAT) AS FLOAT) AS lon
   FROM o, range(4) i, range(4) j WHERE coverage = 'partial' AND NOT EXISTS (SELECT 1 FROM h WHERE h."row" = r * 4 + i.range AND h.col = c * 4 + j.range))"""
@@ -85,8 +85,10 @@ _MISSING = (
 def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = overlap.gaps(tables.tile_refs(spark, sf_dir))
     side = F.pow(F.lit(2.0), F.col("high") - F.col("low")).cast("long")
-    lat, lon = overlap.missing_centre(geo.lat_of("p_row", "low", 0.5), geo.lon_of("p_col", "low", 0.5), F.col("row"), F.col("col"), side)
-    return g.select("ref_id", "row", "col", F.col("high").alias("zoom"), lat.alias("lat"), lon.alias("lon"))
+    above = geo.lat_of("p_row", "low", 0.5), geo.lon_of("p_col", "low", 0.5)
+    lat, lon = overlap.missing_centre(*above, F.col("row"), F.col("col"), side)
+    parent = [F.col("low").alias("p_zoom"), "p_row", "p_col", above[0].cast("float").alias("p_lat"), above[1].cast("float").alias("p_lon")]
+    return g.select("ref_id", "row", "col", F.col("high").alias("zoom"), lat.alias("lat"), lon.alias("lon"), *parent)
 
 
 @query(
@@ -107,3 +109,54 @@ SELECT row_number() OVER (ORDER BY s, y, x) - 1 AS n, line FROM d"""
 )
 def report_gap_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.gap_cells(_missing(spark, sf_dir))
+
+
+_TOTALS = """, t AS (SELECT count(*) AS tiles, '[' || array_to_string(list_sort(list_distinct(list(zoom))), ', ') || ']' AS zooms, (SELECT count(*) FROM m) AS gone, (SELECT count(DISTINCT ref_id) FROM m) AS gaps FROM tile_refs)"""
+
+
+@query(
+    _MISSING
+    + _TOTALS
+    + """, x AS (SELECT *, row_number() OVER (ORDER BY ref_id, "row", col) AS i FROM m),
+d(s, k, j, i, line) AS (SELECT 0, 0, 0, i, l FROM (SELECT unnest(['{', '  "tiles_analyzed": ' || tiles || ',', '  "zoom_levels_present": ' || zooms || ',', '  "gaps_count": ' || gaps || ',', '  "total_missing_tiles": ' || gone || ',',
+  '  "tile_filter": null,', '  "missing_tiles": [']) AS l, unnest(range(7)) AS i FROM t)
+UNION ALL SELECT 1, 0, 0, 0, '' FROM t WHERE gone = 0
+UNION ALL SELECT 1, 0, 0, i, printf('    { "row": %d, "col": %d, "zoom": %d, "lat": %.4f, "lon": %.4f }', "row", col, zoom, CAST(lat AS DOUBLE), CAST(lon AS DOUBLE)) || CASE WHEN i < gone THEN ',' ELSE '' END FROM x, t
+UNION ALL SELECT 2, 0, 0, 0, '  ]' UNION ALL SELECT 3, 0, 0, 0, '}') """
+    + _NUMBERED
+)
+def report_gap_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.gap_json(tables.tile_refs(spark, sf_dir), _missing(spark, sf_dir))
+
+
+@query(
+    _MISSING
+    + _TOTALS
+    + f""", x AS (SELECT ref_id, any_value(r) AS r, any_value(c) AS c, count(*) AS m, row_number() OVER (ORDER BY ref_id) AS i FROM m GROUP BY ref_id QUALIFY i <= 20),
+d(s, k, j, i, line) AS (SELECT 0, 0, 0, i, l FROM (SELECT unnest(['Coverage Gap Analysis Report', '============================', '', 'Summary', '-------', 'Tiles analyzed: ' || tiles, 'Zoom levels: ' || zooms, 'Gaps found: ' || gaps,
+  'Total missing tiles: ' || gone, 'Tile filter: 7,8', '', concat('Estimated download size: ~', CASE WHEN b >= 1073741824 THEN printf('%.2f GB', b / 1073741824) WHEN b >= 1048576 THEN printf('%.2f MB', b / 1048576) ELSE concat(b, ' bytes') END, ' (to generate missing tiles)'), '']) AS l,
+  unnest(range(13)) AS i FROM (SELECT *, gone * 13107200 AS b FROM t))
+UNION ALL SELECT 1, 0, 0, i, l FROM (SELECT unnest(['Gap Details', '-----------']) AS l, unnest(range(2)) AS i FROM t WHERE gaps > 0)
+UNION ALL SELECT 2, i, 0, 0, '' FROM x
+UNION ALL SELECT 2, i, 1, 0, printf('%d. Parent ZL16 (%d, %d) at %.2f,%.2f:', i, r, c, CAST(CAST({sql_lat("r", "16", 0.5)} AS FLOAT) AS DOUBLE), CAST(CAST({sql_lon("c", "16", 0.5)} AS FLOAT) AS DOUBLE)) FROM x
+UNION ALL SELECT 2, i, 2, 0, printf('   Coverage: %d/16 (%.1f%%)', 16 - m, CAST((16 - m) / 16 * 100 AS DOUBLE)) FROM x UNION ALL SELECT 2, i, 3, 0, concat('   Missing ', m, ' tiles') FROM x
+UNION ALL SELECT 3, 0, 0, i, l FROM (SELECT unnest(['', concat('... and ', gaps - 20, ' more gaps')]) AS l, unnest(range(2)) AS i FROM t WHERE gaps > 20)
+UNION ALL SELECT 4, 0, 0, 0, '' FROM t WHERE gaps > 0) """
+    + _NUMBERED
+)
+def report_gap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.gap_text(tables.tile_refs(spark, sf_dir), _missing(spark, sf_dir), (7, 8))
+
+
+@query(
+    f"""WITH e AS (SELECT 'Region' || (s_suppkey % 40) AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'Z' ELSE 'Y' END AS kind, concat(md5(s_name), '  ', CASE WHEN s_suppkey % 2 = 0 THEN 'Z' ELSE 'Y' END, '  Region', s_suppkey % 40, '  1.', s_suppkey % 4, '.0  http://made/', s_suppkey) AS line FROM supplier),
+d AS (SELECT 0 AS s, i, '' AS title, '' AS kind, l AS line FROM (SELECT unnest(['MADE {reports.LIST_HEAD}', '1.0.0', 'WORLD', '3', '2025-01-01T00:00:00Z', CAST((SELECT count(*) FROM e) AS VARCHAR), '', '']) AS l, unnest(range(8)) AS i)
+UNION ALL SELECT 1, 0, title, kind, line FROM e) SELECT row_number() OVER (ORDER BY s, i, encode(title), kind, encode(line)) - 1 AS n, line FROM d"""
+)
+def report_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package list of the suppliers' packages, as its lines."""
+    k = F.col("s_suppkey")
+    text = lambda x: x.cast("string")
+    kind = F.when(k % 2 == 0, "Z").otherwise("Y")
+    e = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.md5("s_name").alias("checksum"), kind.alias("package_type"), F.concat(F.lit("Region"), text(k % 40)).alias("title"), F.concat(F.lit("1."), text(k % 4), F.lit(".0")).alias("version"), F.concat(F.lit("http://made/"), text(k)).alias("metadata_url"))
+    return reports.library_lines(e, "MADE", "WORLD", 3, "2025-01-01T00:00:00Z")

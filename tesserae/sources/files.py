@@ -118,14 +118,6 @@ def library_of(lines: DataFrame) -> DataFrame:
     return t.where(F.size(p) == 5).select(*[F.get(p, F.lit(i)).alias(c) for i, c in enumerate(("checksum", "package_type", "title", "version", "metadata_url"))])
 
 
-def library_text(entries: DataFrame, publisher: str, scope: str, sequence: int, published: str) -> DataFrame:
-    """One row with the text of a package list, entries by title and type. A list is a small file: one line per package of a catalogue."""
-    line = F.concat_ws("  ", "checksum", "package_type", "title", "version", "metadata_url")
-    g = entries.groupBy().agg(F.array_sort(F.collect_list(F.struct("title", "package_type", line.alias("line")))).alias("l"))
-    head = F.concat(F.lit("\n".join([f"{publisher} {LIST_HEAD}", "1.0.0", scope, str(sequence), published]) + "\n"), F.size("l").cast("string"), F.lit("\n\n\n"))
-    return g.select(F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
-
-
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, size, mtime) of all files under a folder; contents are not read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)

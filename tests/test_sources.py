@@ -1,5 +1,6 @@
 """Readers over small files written here."""
 
+from tesserae.operators import reports
 from tesserae.sources import files
 
 
@@ -28,7 +29,7 @@ def test_airports(spark, tmp_path):
 def test_library(spark, tmp_path):
     rows = [("c1", "Z", "EUROPE", "1.0.0", "http://a"), ("c2", "Y", "ASIA", "2.0.0", "http://b")]
     e = spark.createDataFrame(rows, "checksum string, package_type string, title string, version string, metadata_url string")
-    put(tmp_path / "library.txt", files.library_text(e, "MADE", "WORLD", 3, "2025-01-01T00:00:00Z").first().text)
+    put(tmp_path / "library.txt", "\n".join(r.line for r in reports.library_lines(e, "MADE", "WORLD", 3, "2025-01-01T00:00:00Z").sort("n").collect()))
     assert sorted(tuple(r) for r in files.library(spark, str(tmp_path / "library.txt")).collect()) == sorted(rows)
     head = files.library_head(files._lines(spark, str(tmp_path / "library.txt"), "*")).first()
     assert head.ok and (head.scope, head.sequence, head.packages) == ("WORLD", 3, 2)
