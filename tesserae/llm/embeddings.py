@@ -135,7 +135,8 @@ def _compared(mult: np.ndarray, home: np.ndarray, part: np.ndarray, both: int, v
                 first &= d[:, sls[s]].sum(1) > share[s]
             near[p[first], q[first]] = True
     near |= near.T
-    count = near @ mult
+    weights = mult.astype(np.float64)  # sums below 2^53 are exact
+    count = np.concatenate([near[i : i + 256].astype(np.float64) @ weights for i in range(0, n, 256)]).astype(np.int64)
     linked = np.flatnonzero(count)
     root = np.full(n, -1)
     for s in linked:

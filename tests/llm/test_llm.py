@@ -251,6 +251,21 @@ def test_pages_of_deep_nesting():
     import time
 
     began = time.perf_counter()
+    text = "<h1>Title</h1><p>" + "Long first part. " * 20 + "</p><p>" + "Long second part. " * 20 + "</p>"
+    want = "\n".join(["Title", ("Long first part. " * 20).strip(), ("Long second part. " * 20).strip()])
+    menu = "<a href='/'>Home</a> <a href='/a'>About us</a>"
+    for page in [
+        f"<body><form action='x'><nav>{menu}</nav><div>{text}</div><footer>Imprint and more</footer></form></body>",
+        f"<body><nav>{menu}<article>{text}</article></body>",
+        f"<body><nav>{menu}<section>{text}</section><footer>Imprint</footer></body>",
+        f"<body><article>{text}<form><p>Your address</p></form></article></body>",
+        f"<body><div>{text}</div><form><p>Your name</p><p>Your address</p></form></body>",
+    ]:
+        assert html_text.main_text(page) == want, page
+    notes = "".join(f"<div class='comment'><p>{f'I think that {i} is not so at all, whatever they say. ' * 9}</p></div>" for i in range(12))
+    short = "<h1>Title</h1><p>A short report of three sentences. It says little. It ends.</p>"
+    for page in [f"<body><article>{short}</article><div id='comments'>{notes}</div></body>", f"<body><article>{short}{notes}</article></body>", f"<body><div>{short}</div><div>{notes}</div></body>", f"<body><form><div>{short}</div>{notes}</form></body>"]:
+        assert html_text.main_text(page) == "Title\nA short report of three sentences. It says little. It ends.", page
     assert html_text.main_text("<div>" * 100_000 + "text" + "</div></p>" * 100_000) == "text"
     assert time.perf_counter() - began < 20
 
