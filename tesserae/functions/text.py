@@ -154,3 +154,22 @@ def bumped(version: Column, part: str) -> Column:
     n = F.transform(F.split(F.substring_index(version, "-", 1), r"\."), lambda x: x.cast("long"))
     i = ("major", "minor", "patch").index(part)
     return F.concat_ws(".", *[(F.get(n, F.lit(k)) + (1 if k == i else 0) if k <= i else F.lit(0)).cast("string") for k in range(3)])
+
+
+# Addresses of chunks by provider; q is the quadkey, v the session or version of the credentials.
+URLS = {
+    "bing": "https://ecn.t0.tiles.virtualearth.net/tiles/a{q}.jpeg?g=1",
+    "arcgis": "https://server.arcgisonline.com/ArcGIS/rest/services/World_Imagery/MapServer/tile/{z}/{y}/{x}",
+    "usgs": "https://basemap.nationalmap.gov/arcgis/rest/services/USGSImageryOnly/MapServer/tile/{z}/{y}/{x}",
+    "mapbox": "https://api.mapbox.com/v4/mapbox.satellite/{z}/{x}/{y}.jpg?access_token={key}",
+    "google": "https://tile.googleapis.com/v1/2dtiles/{z}/{x}/{y}?session={v}&key={key}",
+    "apple": "https://sat-cdn.apple-mapkit.com/tile?style=7&size=1&scale=1&z={z}&x={x}&y={y}&v={v}&accessKey={key}",
+}
+
+
+def chunk_url(provider: Column, row: Column, col: Column, zoom: Column, quadkey: Column, key: str = "", session: str = "") -> Column:
+    """The address of a chunk's picture; null for an unknown provider."""
+    url = F.element_at(F.create_map(*(F.lit(x) for kv in URLS.items() for x in kv)), provider)
+    for name, value in {"q": quadkey, "z": zoom, "y": row, "x": col, "v": F.lit(session), "key": F.lit(key)}.items():
+        url = F.replace(url, F.lit("{" + name + "}"), value.cast("string"))
+    return url

@@ -126,11 +126,22 @@ def all_present(tiles: DataFrame, cached: DataFrame) -> DataFrame:
 def kept_regions(prefetched: DataFrame, retained: DataFrame) -> DataFrame:
     """prefetched (dsf_lat, dsf_lon, state) without what is outside the retained cells; while none is retained, and for cells in progress, all
     stays."""
-    if retained.isEmpty():
-        return prefetched
     r = retained.select(*CELL).distinct().withColumn("r", F.lit(True))
     p = prefetched.join(r, CELL, "left")
-    return p.where(F.col("r").isNotNull() | (F.col("state") == "in_progress")).select(*prefetched.columns)
+    some = F.broadcast(retained.limit(1).select(F.lit(True).alias("some")))  # one row or none
+    p = p.join(some, F.col("r").isNull(), "left")
+    return p.where(F.col("r").isNotNull() | F.col("some").isNull() | (F.col("state") == "in_progress")).select(*prefetched.columns)
+
+
+def fully_submitted(plan: DataFrame, submitted: DataFrame, deferred: DataFrame) -> DataFrame:
+    """(cycle, dsf_lat, dsf_lon, tiles) of the planned cells all of whose tiles were submitted by the same cycle.
+
+    plan: cycle, dsf_lat, dsf_lon, row, col, zoom; submitted: cycle, row, col, zoom; deferred: cycles that mark nothing. Repeated rows count once.
+    """
+    at = ["cycle", "row", "col", "zoom"]
+    p = plan.join(deferred.select("cycle").distinct(), "cycle", "left_anti").select(*at, *CELL).distinct()
+    p = p.join(submitted.select(*at).distinct().withColumn("s", F.lit(True)), at, "left")
+    return p.groupBy("cycle", *CELL).agg(F.count("*").alias("tiles"), F.bool_and(F.coalesce("s", F.lit(False))).alias("all")).where("all").drop("all")
 
 
 def region_states(prefetched: DataFrame, activity: DataFrame, patched: DataFrame, retained: DataFrame) -> DataFrame:

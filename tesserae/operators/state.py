@@ -132,3 +132,12 @@ def ladder(state: dict | None, r: dict) -> tuple[dict, dict]:
         step = -1 if r["throughput"] < 0.7 * r["baseline"] else 1 if r["throughput"] > 0.9 * r["baseline"] else 0
         s["mode"] = modes[min(2, max(0, i + step))]
     return s, {"mode": s["mode"]}
+
+
+def smoothed(heading: float | None, new: float, weight: float = 0.3) -> float:
+    """A heading moved towards a new one by a share of the shorter turn between them."""
+    if heading is None:
+        return new
+    d = new - heading
+    d = d - 360 if d > 180 else d + 360 if d < -180 else d
+    return (heading + weight * d + 360) % 360

@@ -2,6 +2,6 @@
 
 from importlib import import_module
 
-MODULES = ("geo", "gen", "join", "fsm", "agg", "win", "names", "px", "stream", "flight", "catalogue", "carry", "readers", "reports")
+MODULES = ("geo", "gen", "join", "fsm", "agg", "win", "names", "px", "stream", "flight", "catalogue", "carry", "readers", "reports", "monitor")
 for _name in MODULES:
     import_module(f"{__name__}.{_name}")

@@ -150,12 +150,12 @@ def fsm_tile_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source_id, round(list_reduce(h, lambda a, x: (a + 0.3 * (CASE WHEN x - a > 180 THEN x - a - 360 WHEN x - a < -180 THEN x - a + 360 ELSE x - a END) + 360) % 360), 3) AS heading FROM l"""
 )
 def fsm_heading_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings of a source smoothed on the circle, native: a fold over the ordered list."""
-    g = tables.positions(spark, sf_dir).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("seq", "heading"))).alias("h"))
+    """Headings of a source smoothed on the circle; the last one of each."""
+    d = tables.positions(spark, sf_dir).select("source_id", "seq", "heading")
 
-    def step(a: F.Column, x: F.Column) -> F.Column:
-        d = x["heading"] - a
-        d = F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
-        return F.when(a.isNull(), x["heading"]).otherwise(F.pmod(a + 0.3 * d + 360, F.lit(360.0)))
+    def step(s: float | None, r: dict) -> tuple[float, dict]:
+        h = state.smoothed(s, r["heading"])
+        return h, {"source_id": r["source_id"], "seq": r["seq"], "heading": h}
 
-    return g.select("source_id", F.round(F.aggregate("h", F.lit(None).cast("double"), step), 3).alias("heading"))
+    g = folded(d, ["source_id"], ["seq"], step, "source_id long, seq long, heading double")
+    return g.groupBy("source_id").agg(F.round(F.max_by("heading", "seq"), 3).alias("heading"))

@@ -276,6 +276,12 @@ def join_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATES = """, pre AS (SELECT floor(lat) AS a, floor(lon) AS o, CASE min(seq) % 3 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'prefetched' ELSE 'no_coverage' END AS state FROM positions WHERE ground_speed < 160 GROUP BY ALL),
 act AS (SELECT floor(lat) AS a, floor(lon) AS o, count(*) FILTER (seq % 4 = 0) AS fh, count(*) FILTER (seq % 4 = 1) AS fg, count(*) FILTER (seq % 4 = 2) AS ph, count(*) FILTER (seq % 4 = 3) AS pg FROM positions WHERE ground_speed BETWEEN 100 AND 300 GROUP BY ALL),
 pat AS (SELECT DISTINCT floor(lat) AS a, floor(lon) AS o FROM positions WHERE ground_speed BETWEEN 280 AND 400), ret AS (SELECT DISTINCT floor(lat) AS a, floor(lon) AS o FROM positions WHERE ground_speed > 380)"""
+#: The cells' states as the table layers, after _STATES.
+SQL_STATES = """, j AS (SELECT a, o, state, fh, fg, ph, pg, pat.a IS NOT NULL AS p, ret.a IS NOT NULL AS r FROM (SELECT a, o FROM pre UNION SELECT a, o FROM act UNION SELECT a, o FROM pat UNION SELECT a, o FROM ret) k
+  LEFT JOIN pre USING (a, o) LEFT JOIN act USING (a, o) LEFT JOIN pat USING (a, o) LEFT JOIN ret USING (a, o)),
+s AS (SELECT *, CASE WHEN state = 'prefetched' AND fh + fg > 0 THEN 'mixed' ELSE coalesce(state, CASE WHEN fh + fg > 0 AND ph + pg > 0 THEN 'mixed' WHEN fh + fg > 0 THEN 'fuse_loaded' WHEN ph + pg > 0 THEN 'prefetched' END,
+  CASE WHEN p THEN 'patched' END, CASE WHEN r THEN 'retained' END) END AS s FROM j),
+layers AS (SELECT CAST(a AS INT) AS dsf_lat, CAST(o AS INT) AS dsf_lon, s AS state, CAST(coalesce(fh, 0) AS BIGINT) AS fuse_hits, CAST(coalesce(fg, 0) AS BIGINT) AS fuse_misses, CAST(coalesce(pg, 0) AS BIGINT) AS prefetch_generated FROM s)"""
 
 
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -290,11 +296,8 @@ def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 @query(
     cte("positions")
     + _STATES
-    + """, j AS (SELECT a, o, state, fh, fg, ph, pg, pat.a IS NOT NULL AS p, ret.a IS NOT NULL AS r FROM (SELECT a, o FROM pre UNION SELECT a, o FROM act UNION SELECT a, o FROM pat UNION SELECT a, o FROM ret) k
-  LEFT JOIN pre USING (a, o) LEFT JOIN act USING (a, o) LEFT JOIN pat USING (a, o) LEFT JOIN ret USING (a, o)),
-s AS (SELECT *, CASE WHEN state = 'prefetched' AND fh + fg > 0 THEN 'mixed' ELSE coalesce(state, CASE WHEN fh + fg > 0 AND ph + pg > 0 THEN 'mixed' WHEN fh + fg > 0 THEN 'fuse_loaded' WHEN ph + pg > 0 THEN 'prefetched' END,
-  CASE WHEN p THEN 'patched' END, CASE WHEN r THEN 'retained' END) END AS s FROM j)
-SELECT CAST(a AS INT) AS dsf_lat, CAST(o AS INT) AS dsf_lon, s AS state, CAST(coalesce(fh, 0) AS BIGINT) AS fuse_hits, CAST(coalesce(fg, 0) AS BIGINT) AS fuse_misses, CAST(coalesce(pg, 0) AS BIGINT) AS prefetch_generated FROM s"""
+    + SQL_STATES
+    + " SELECT * FROM layers"
 )
 def join_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of each cell that any of four layers knows."""
