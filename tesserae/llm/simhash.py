@@ -2,8 +2,8 @@
 
 A fingerprint holds a majority vote over the hashes of all word shingles. To find every pair of fingerprints at Hamming
 distance r or less, each of the 64 bit positions gets a random non-zero vector of r + 1 bits, and each of the 2**(r+1)-1
-non-zero vectors v gives one mask: the positions whose vector is orthogonal to v over GF(2). The r positions at which a pair may
-differ span a space of dimension r at most, so some v is orthogonal to all of them, and under that mask the pair is equal.
+non-zero vectors v gives one mask: the positions whose vector is not orthogonal to v over GF(2). The r positions at which a pair may
+differ span a space of dimension r at most, so some v is orthogonal to all of them: its mask holds none, and under it the pair is equal.
 No pair within the radius is missed; the rest is filtered by the exact distance.
 """
 
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def masks(radius: int = RADIUS, seed: int = SEED) -> list[int]:
     """The covering masks as signed 64-bit integers."""
     rng = np.random.default_rng(seed)
-    own = rng.integers(1, 1 << (radius + 1), 64)  # non-zero, else a position would be in every mask
+    own = rng.integers(1, 1 << (radius + 1), 64)  # non-zero, else a position would be in no mask
     out = []
     for v in range(1, 1 << (radius + 1)):
         m = sum(1 << i for i in range(64) if bin(int(own[i]) & v).count("1") % 2 == 1)
