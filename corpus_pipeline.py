@@ -36,14 +36,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one row stays, that of the smallest doc_id. Texts are linked by their SimHash, and, as 64 bits tell texts of
     similarity 0.8 apart, also where their sets of five-word shingles are as similar as that."""
-    groups = cut(simhash.simhash_groups(docs).withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("x"), "fingerprint"))).select("doc_id", "row", "group"))
-    texts = groups.select("row", "group").where("row is not null").distinct()
-    centre = texts.groupBy("group").agg(F.min("row").alias("low"))
-    links = texts.join(centre, "group").select(F.col("row").alias("a"), F.col("low").alias("b")).unionByName(similarity.similar(docs).toDF("b", "a"))
-    groups = groups.join(components(links).toDF("row", "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    own = cut(simhash.fingerprints(docs))
+    near = simhash.links(own.select("fp").distinct())
+    node = lambda c: F.xxhash64(F.lit("fp"), F.col(c))  # noqa: E731  fingerprints are nodes beside the texts
+    links = own.select(F.col("row").alias("a"), node("fp").alias("b")).unionByName(near.select(node("a").alias("a"), node("b").alias("b"))).unionByName(similarity.similar(docs).toDF("b", "a"))
+    groups = own.join(components(links).toDF("row", "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = groups.groupBy(F.col("root").alias("of")).agg(F.min(place).alias("first"))
-    groups = cut(groups.join(first, F.col("root").eqNullSafe(F.col("of"))).select("doc_id", "row", place.eqNullSafe(F.col("first")).alias("kept")))
+    groups = cut(groups.join(first, F.col("root") == F.col("of")).select("doc_id", "row", place.eqNullSafe(F.col("first")).alias("kept")))
     many = cut(groups.where("kept").groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1"))
     one = _join(_rows(docs), many, "left_semi").dropDuplicates(ROW)
     return _join(_rows(docs), groups.where("not kept").select("doc_id", "row").unionByName(many.select("doc_id", "row")), "left_anti").unionByName(one).select("doc.*")
