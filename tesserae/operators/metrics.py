@@ -72,14 +72,16 @@ def ratio(part: Column, *whole: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(part / total)
 
 
-def calibration(samples: DataFrame, keys: list[str], fewest: int = 50, most: int = 10_000) -> DataFrame:
-    """Throughput and its spread per key from samples (t in seconds, ms): the last `most` of each, null below `fewest`.
+def calibration(samples: DataFrame, keys: list[str], fewest: int = 50, most: int | None = 10_000) -> DataFrame:
+    """Throughput and its spread per key from samples (t in seconds, ms): the last `most` of each (None: all), no row below `fewest`.
 
     The average is an integer, the deviation is taken around it and cut to an integer, as is usual for these reports; confidence
     falls with a spread of up to half the average.
     """
-    w = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("seq"))
-    s = samples.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    s = samples
+    if most is not None:
+        w = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("seq"))
+        s = s.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     g = s.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("ms").alias("sum"), F.sum(F.col("ms") * F.col("ms")).alias("sq"), F.min("t").alias("t0"), F.max("t").alias("t1"))
     g = g.where(F.col("n") >= fewest).withColumn("avg_ms", F.floor(F.col("sum") / F.col("n")).cast("long"))
     # Sum of squared differences from the cut average, from the two sums.
