@@ -55,14 +55,15 @@ def radius_join(points: DataFrame, places: DataFrame, nm: float, lat: str = "lat
 
     Points are written to every bucket their box reaches, places to their own; the exact distance (float) filters the rest.
     The box is `nm` wide in degrees of latitude on both axes, so towards the poles places east and west of it are not looked at;
-    longitude does not wrap.
+    longitude does not wrap. Both sides are shuffled: Spark takes points for as small as they were before they were written to their buckets, and
+    would broadcast them.
     """
     reach = nm / 60.0
     span = lambda c: F.sequence(F.floor((F.col(c) - reach) / size).cast("int"), F.ceil((F.col(c) + reach) / size).cast("int"))
     q = points.withColumn("_a", F.explode(span(lat))).withColumn("_o", F.explode(span(lon)))
     s = places.withColumns({"_a": F.floor(F.col(p_lat) / size).cast("int"), "_o": F.floor(F.col(p_lon) / size).cast("int")})
     d = geo.flat_nm(lat, lon, p_lat, p_lon)
-    return q.join(s, ["_a", "_o"]).withColumn("nm", d).where(F.col("nm") <= F.lit(nm).cast("float")).drop("_a", "_o")
+    return q.hint("merge").join(s, ["_a", "_o"]).withColumn("nm", d).where(F.col("nm") <= F.lit(nm).cast("float")).drop("_a", "_o")
 
 
 def region_tiles(regions: DataFrame, scenery: DataFrame, nm: float = 45.0, within: bool = True) -> DataFrame:

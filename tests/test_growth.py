@@ -4,6 +4,7 @@ import duckdb
 from conftest import rows_of
 
 from tesserae import plans, registry  # noqa: F401
+from tesserae.operators import index
 
 
 def plan_of(df):
@@ -20,3 +21,11 @@ def test_calibration_of_many_samples(spark, tmp_path):
     got = registry.QUERIES["agg_calibration"](spark, str(tmp_path)).toPandas()
     columns = sorted(want.columns)
     assert list(got.n) == [24000] and rows_of(got, columns) == rows_of(want, columns)
+
+
+def test_radius_join_broadcasts_no_written_out_points(spark):
+    p = spark.range(30).selectExpr("id AS seq", "CAST(id AS FLOAT) AS lat", "CAST(id AS FLOAT) AS lon")
+    s = spark.range(30).selectExpr("id AS place", "CAST(id + 0.5 AS FLOAT) AS p_lat", "CAST(id + 0.25 AS FLOAT) AS p_lon")
+    d = index.radius_join(p, s, 45.0)
+    assert "Broadcast" not in plan_of(d)
+    assert sorted((r.seq, r.place) for r in d.collect()) == [(i, i) for i in range(30)]
