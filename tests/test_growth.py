@@ -1,10 +1,11 @@
 """Queries on tables larger than the test data: results stay those of the SQL, and plans hold nothing that grows with the input in one place."""
 
 import duckdb
+import pytest
 from conftest import rows_of
 
 from tesserae import plans, registry  # noqa: F401
-from tesserae.operators import index
+from tesserae.operators import catalogue, index
 
 
 def plan_of(df):
@@ -29,3 +30,19 @@ def test_radius_join_broadcasts_no_written_out_points(spark):
     d = index.radius_join(p, s, 45.0)
     assert "Broadcast" not in plan_of(d)
     assert sorted((r.seq, r.place) for r in d.collect()) == [(i, i) for i in range(30)]
+
+
+@pytest.mark.parametrize("names", [["b", "a", "ab", "aé"], ["same-head-2", "same-head-10", "same-head-1", "same-hea"], ["\U0001f600", "￮", "é", "z", ""]])
+def test_union_of_patches_sorts_no_files(spark, names):
+    rows = [(n, f"Earth nav data/{i % 2}/{x}.dsf") for i, n in enumerate(names) for x in "xy"] + [(n, "readme.txt") for n in names] + [("0", "Earth nav data"), ("0", "readme.txt")]
+    f = spark.createDataFrame(rows, "patch string, path string")
+    d = catalogue.union_of_patches(f, catalogue.patches(f))
+    assert "SortAggregate" not in plan_of(d)
+    valid, want = set(names), {}
+    for patch, path in rows:
+        for k in range(path.count("/") + 1):
+            p = path.rsplit("/", k)[0]
+            if patch in valid:
+                first, is_dir = want.get(p, (patch, False))
+                want[p] = (min(first, patch, key=lambda x: x.encode()), is_dir or k > 0)
+    assert {r.path: (r.patch, r.is_dir) for r in d.collect()} == want
