@@ -37,6 +37,8 @@ def terrain_of(lines: DataFrame) -> DataFrame:
     t = lines.withColumn("line", F.trim("line"))
     w = F.split("line", r"\s+")
     centre = F.startswith("line", F.lit("LOAD_CENTER")) & (F.size(w) >= 3)
+    # Few lines tell anything; they are dealt out before they are read and sorted by file, as one split of the input may hold the lines of very many files.
+    t = t.where(centre | F.startswith("line", F.lit("BASE_TEX"))).select("file", "n", "line").repartition("file")
     # A line of that kind always overwrites, with null if it has no number.
     t = t.withColumn("c", F.when(centre, F.struct("n", _number(F.get(w, F.lit(1)), "float").alias("lat"), _number(F.get(w, F.lit(2)), "float").alias("lon"))))
     t = t.withColumn("d", F.when(F.startswith("line", F.lit("BASE_TEX")), text.dds_parts(F.element_at(F.split("line", "/"), -1))))
@@ -55,7 +57,7 @@ def terrain_tiles(lines: DataFrame, bounds: tuple[float, float, float, float]) -
     """The same from lines (file, n, line)."""
     t = lines.where(F.col("n") < 10)
     w = F.split("line", r"\s+")
-    t = t.where(F.startswith("line", F.lit("LOAD_CENTER")) & (F.size(w) >= 3))
+    t = t.where(F.startswith("line", F.lit("LOAD_CENTER")) & (F.size(w) >= 3)).repartition("file")
     first = t.groupBy("file").agg(F.min(F.struct("n", _number(F.get(w, F.lit(1)), "double").alias("lat"), _number(F.get(w, F.lit(2)), "double").alias("lon"))).alias("c"))
     s, n, west, e = bounds
     inside = first.where((F.col("c.lat") >= s) & (F.col("c.lat") < n) & (F.col("c.lon") >= west) & (F.col("c.lon") < e))

@@ -3,9 +3,11 @@
 import duckdb
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from tesserae import plans, registry  # noqa: F401
 from tesserae.operators import catalogue, index
+from tesserae.sources import files
 
 
 def plan_of(df):
@@ -46,3 +48,14 @@ def test_union_of_patches_sorts_no_files(spark, names):
                 first, is_dir = want.get(p, (patch, False))
                 want[p] = (min(first, patch, key=lambda x: x.encode()), is_dir or k > 0)
     assert {r.path: (r.patch, r.is_dir) for r in d.collect()} == want
+
+
+def test_terrain_is_dealt_out_before_it_is_sorted(spark):
+    made = [("a_sea.ter", 0, "LOAD_CENTER 1 2 3 4"), ("a_sea.ter", 1, "LOAD_CENTER 5.5 6.5 3 4"), ("a_sea.ter", 2, "BASE_TEX ../t/16_32_BI16.dds"), ("a_sea.ter", 3, "BASE_TEX none.png"), ("a_sea.ter", 4, "x"),
+            ("b.ter", 0, "LOAD_CENTER 1 2"), ("b.ter", 1, "LOAD_CENTER x y"), ("b.ter", 2, "BASE_TEX 16_32_BI16.dds"), ("c.ter", 0, "LOAD_CENTER 1 2"), ("d.ter", 0, "x")]
+    lines = spark.createDataFrame(made, "file string, n int, line string")
+    d = files.terrain_of(lines)
+    assert [tuple(r) for r in d.collect()] == [("a_sea.ter", 16, 32, 16, "BI", 5.5, 6.5, True)]
+    tiles = files.terrain_tiles(lines.withColumn("file", F.regexp_replace("file", "^.", "16_32_BI18")), (0.0, 9.0, 0.0, 9.0))
+    for plan in (plan_of(d), plan_of(tiles)):
+        assert "SortAggregate" in plan and "SortAggregate" not in plan[plan.rindex("Exchange hashpartitioning(file") :], plan
