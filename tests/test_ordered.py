@@ -49,3 +49,17 @@ def test_gone_without_another_row(spark, tmp_path):
     files = [[(1, 0, 1.0), (1, 1, 2.0), (2, 2, 2.0)], [(2, 3, 4.0), (2, 4, 20.0), (3, 5, 21.0)], [(3, 6, 22.0)]]
     got = streams.drained(ordered.connections(stream(spark, tmp_path, files, "source_id long, seq long, t double", 1), "0 seconds", 5.0), "append")
     assert sorted(map(tuple, got.collect())) == [(1, 1.0, True), (1, 7.0, False), (2, 2.0, True), (2, 9.0, False), (2, 20.0, True), (3, 21.0, True)]
+
+
+def test_many_keys_share_states(spark, tmp_path, monkeypatch):
+    """Spark's states are as many as buckets and not as keys; a key may be null or beyond what a double holds."""
+    monkeypatch.setattr(ordered, "BUCKETS", 16, raising=False)
+    keys = [None, 2**53 + 1, 2**53 + 3, *range(300)]
+    files = [[(k, i, float(i)) for k in keys] for i in range(3)]
+    step = lambda n, r: ((n or 0) + 1, [(r[1], (n or 0) + 1, None if r[1] else 2**53 + 1)])
+    d = ordered.in_order(stream(spark, tmp_path, files, "k long, seq long, t double", 1), "k", "t", ["seq"], [], "0 seconds", step, None, "k long, seq long, n long, m long")
+    q = d.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format("parquet").option("path", str(tmp_path / "out")).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 17
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+    assert got == sorted(((k, i, i + 1, None if i else 2**53 + 1) for k in keys for i in range(3)), key=str)
