@@ -35,20 +35,25 @@ def box(lat, lon, track, extent, bias: float = 0.8) -> tuple[Column, Column, Col
     return out[0], out[1], out[2], out[3]
 
 
-def box_cells(bounds: tuple[Column, Column, Column, Column], buffer: int = 0) -> Column:
-    """Array of (dsf_lat, dsf_lon) of the cells a box touches; an upper edge on a whole degree does not count. No wrapping."""
+def edges(bounds: tuple[Column, Column, Column, Column], buffer: int = 0) -> tuple[Column, Column, Column, Column]:
+    """(south, north, west, east): the first and last whole degrees of the cells a box touches; an upper edge on a whole degree does not count. No
+    wrapping."""
     s, n, w, e = bounds
     low = lambda x: F.floor(x).cast("int") - buffer
     high = lambda x: F.floor(x - 1e-9).cast("int") + buffer
-    return F.flatten(F.transform(F.sequence(low(s), high(n)), lambda a: F.transform(F.sequence(low(w), high(e)), lambda o: F.struct(a.alias("dsf_lat"), o.alias("dsf_lon")))))
+    return low(s), high(n), low(w), high(e)
+
+
+def box_cells(bounds: tuple[Column, Column, Column, Column], buffer: int = 0) -> Column:
+    """Array of (dsf_lat, dsf_lon) of the cells a box touches, as `edges` has it."""
+    s, n, w, e = edges(bounds, buffer)
+    return F.flatten(F.transform(F.sequence(s, n), lambda a: F.transform(F.sequence(w, e), lambda o: F.struct(a.alias("dsf_lat"), o.alias("dsf_lon")))))
 
 
 def boxed(df: DataFrame, bounds: tuple[Column, Column, Column, Column], buffer: int = 0) -> DataFrame:
     """(dsf_lat, dsf_lon) of the same cells for all rows, as rows: two sequences, one exploded after the other, in generated code. A bound is made once."""
-    s, n, w, e = bounds
-    low = lambda x: F.floor(x).cast("int") - buffer
-    high = lambda x: F.floor(x - 1e-9).cast("int") + buffer
-    d = df.select(F.inline(F.array(F.struct(low(s).alias("s"), high(n).alias("n"), low(w).alias("w"), high(e).alias("e")))))
+    s, n, w, e = edges(bounds, buffer)
+    d = df.select(F.inline(F.array(F.struct(s.alias("s"), n.alias("n"), w.alias("w"), e.alias("e")))))
     return d.select("w", "e", F.explode(F.sequence("s", "n")).alias("dsf_lat")).select("dsf_lat", F.explode(F.sequence("w", "e")).alias("dsf_lon"))
 
 

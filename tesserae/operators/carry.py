@@ -64,28 +64,41 @@ def sent(pending: list, cells: list | None, opens: bool, now, load: float, share
     return plan[most:], (strategy, len(cells), len(plan), plan[:most], False)
 
 
-def cycles(flights: DataFrame, cells: DataFrame, layers: list[DataFrame], key: str = "source_id", order: str = "seq") -> DataFrame:
+def around(lat: float, lon: float, edges: tuple, gone: dict) -> list[dict]:
+    """The cells between edges (south, north, west, east), nearest to a position first, with the time from when on they are there."""
+    if None in edges:
+        return []
+    south, north, west, east = edges
+    ys, xs = [(lat - (a + 0.5), a) for a in range(south, north + 1)], [(lon - (o + 0.5), o) for o in range(west, east + 1)]
+    return [{"dsf_lat": a, "dsf_lon": o, "gone": gone.get((a, o))} for _, a, o in sorted((y * y + x * x, a, o) for y, a in ys for x, o in xs)]
+
+
+def cycles(flights: DataFrame, layers: list[DataFrame], key: str = "source_id", order: str = "seq") -> DataFrame:
     """(key, order, phase, strategy, considered, planned, submitted, pending, deferred, cells): every cycle of every flight.
 
-    flights: key, order, t (seconds), ts, knots, msl, load, opens (whether the cycle may plan). cells: key, order, dsf_lat, dsf_lon, place:
-    the cells around each cycle, to be sent by place. layers: dsf_lat, dsf_lon, since: from when on a cell need not be fetched. Phase and
+    flights: key, order, t (seconds), ts, knots, msl, load, opens (whether the cycle may plan), lat, lon, and south, north, west, east: first and last
+    degrees of the cells around, to be sent by distance. layers: dsf_lat, dsf_lon, since: from when on a cell need not be fetched. Phase and
     throttle follow from knots and msl. cells of the output are those sent, in order.
+
+    Rows travel as they are and get their cells where they are folded. The layers' cells go to all tasks: of the earth's 64,800, each once.
     """
     gone = None
     for x in layers:
         x = x.select("dsf_lat", "dsf_lon", "since")
         gone = x if gone is None else gone.unionByName(x)
-    gone = gone.groupBy("dsf_lat", "dsf_lon").agg(F.min("since").alias("gone"))
-    c = cells.join(gone, ["dsf_lat", "dsf_lon"], "left").groupBy(key, order).agg(F.array_sort(F.collect_list(F.struct("place", "dsf_lat", "dsf_lon", "gone"))).alias("around"))  # of one box
+    first = gone.groupBy("dsf_lat", "dsf_lon").agg(F.min("since").alias("gone")).toArrow()
+    since = flights.sparkSession.sparkContext.broadcast(dict(zip(zip(first["dsf_lat"].to_pylist(), first["dsf_lon"].to_pylist()), first["gone"].to_pylist())))
 
-    def step(s: tuple | None, t, ts, knots, msl, load, opens, around):
+    def step(s: tuple | None, t, ts, knots, msl, load, opens, lat, lon, *edges):
         machine, pending = s or (None, [])
         machine, o = state.phase_and_throttle(machine, {"t": t, "knots": knots, "msl": msl})
-        pending, (strategy, considered, planned, out, deferred) = sent(pending, around, opens, ts, load, o["share"])
+        cells = around(lat, lon, edges, since.value) if opens and not pending else None
+        pending, (strategy, considered, planned, out, deferred) = sent(pending, cells, opens, ts, load, o["share"])
         return (machine, pending), (o["phase"], strategy, considered, planned, len(out), len(pending), deferred, ",".join(f"{x['dsf_lat']}:{x['dsf_lon']}" for x in out))
 
     schema = "phase string, strategy string, considered int, planned int, submitted int, pending int, deferred boolean, cells string"
-    return scanned(flights.join(c, [key, order], "left"), [key], [order], [key, order], ["t", "ts", "knots", "msl", "load", "opens", "around"], step, schema)
+    args = ["t", "ts", "knots", "msl", "load", "opens", "lat", "lon", "south", "north", "west", "east"]
+    return scanned(flights, [key], [order], [key, order], args, step, schema)
 
 
 def bearing(a: tuple[float, float], b: tuple[float, float]) -> float:

@@ -50,13 +50,11 @@ SELECT source_id, seq, phase, strategy, CAST(considered AS INT) AS considered, C
 def fsm_coordinator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cycles of all flights: box ahead, filters, phase, throttle, load, and what a cycle leaves to the next."""
     p = timed(spark, sf_dir)
-    f = p.select("source_id", "seq", "t", "ts", F.col("ground_speed").alias("knots"), (F.col("ground_speed") * 20).alias("msl"), (F.col("ground_speed") / 480).alias("load"), flight.fast_enough(F.col("ground_speed")).alias("opens"))
-    around = p.select("source_id", "seq", "lat", "lon", F.explode(generate.box_cells(generate.box("lat", "lon", "heading", F.lit(_EXTENT)))).alias("c")).select("source_id", "seq", "lat", "lon", "c.*")
-    off = lambda x, c: F.col(x) - (F.col(c) + 0.5)
-    around = around.withColumn("place", off("lat", "dsf_lat") * off("lat", "dsf_lat") + off("lon", "dsf_lon") * off("lon", "dsf_lon"))
+    edges = generate.edges(generate.box("lat", "lon", "heading", F.lit(_EXTENT)))
+    f = p.select("source_id", "seq", "t", "ts", F.col("ground_speed").alias("knots"), (F.col("ground_speed") * 20).alias("msl"), (F.col("ground_speed") / 480).alias("load"), flight.fast_enough(F.col("ground_speed")).alias("opens"), "lat", "lon", *[x.alias(c) for x, c in zip(edges, ("south", "north", "west", "east"))])
     asked = with_cells(tables.tile_requests(spark, sf_dir)).select(F.floor("lat").cast("int").alias("dsf_lat"), F.floor("lon").cast("int").alias("dsf_lon"), F.col("ts").alias("since"))
     kept = tables.cache_entries(spark, sf_dir).select(geo.degree(geo.lat_of("row", "zoom", 0.5)).alias("dsf_lat"), geo.degree(geo.lon_of("col", "zoom", 0.5)).alias("dsf_lon"), F.col("last_accessed").alias("since"))
-    return carry.cycles(f, around, [asked, kept])
+    return carry.cycles(f, [asked, kept])
 
 
 @query(

@@ -36,6 +36,14 @@ def test_carry_over_happens(spark, sf):
     assert (got["submitted"] + got["pending"] == got["planned"]).all()
 
 
+def test_cycles_travel_without_their_cells(spark, sf):
+    plan = fsm_coordinator(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 2 and "Join" not in plan and "Generate" not in plan, plan
+    got = carry.around(50.5, 8.25, (50, 51, 7, 8), {(50, 7): 5})
+    assert [(c["dsf_lat"], c["dsf_lon"], c["gone"]) for c in got] == [(50, 8, None), (50, 7, 5), (51, 8, None), (51, 7, None)]
+    assert carry.around(None, 8.0, (None, None, 7, 8), {}) == []
+
+
 def test_derived_track():
     s = None
     for i in range(40):
