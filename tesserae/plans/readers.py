@@ -88,7 +88,9 @@ def join_index_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The union of all sources, stored; then some change, some go and one comes, and only those are written: the union is that of a full build."""
     at = shared.scratch(spark, "index")
     when = F.to_timestamp_ntz(F.lit("2025-01-01 00:00:00"))
-    f = tables.source_files(spark, sf_dir).select(F.concat(F.lit("S"), _text("source_idx")).alias("source"), "path", "size").groupBy("source", "path").agg(F.max("size").alias("size")).withColumn("mtime", when)
+    f = tables.source_files(spark, sf_dir).groupBy("source_idx", "path").agg(F.max("size").alias("size"))
+    f.select(F.concat(F.lit("S"), _text("source_idx")).alias("source"), "path", "size", when.alias("mtime")).write.parquet(f"{at}/files")  # read five times
+    f = spark.read.schema("source string, path string, size long, mtime timestamp_ntz").parquet(f"{at}/files")
     caches.refreshed(spark, at, f)
     later = f.where(~F.col("source").rlike("^S(.*)3$")).withColumn("size", F.when(F.endswith("source", F.lit("1")), F.col("size") + 1000).otherwise(F.col("size")))
     new = spark.createDataFrame([("Snew", "Earth nav data/f0.dsf", 5)], "source string, path string, size long").withColumn("mtime", when)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 from tesserae.operators.index import first_wins
 from tesserae.sources.files import FIELDS
-from tesserae.sources.shared import delete, exists
+from tesserae.sources.shared import delete, exists, names, scratch
 
 # The first two lines of a stored index.
 CACHE_HEAD, CACHE_VERSION = "SCENERY INDEX CACHE", 1
 HEAD_LINES = 5
+# The most sources that have a folder each, and the most parts that further ones share before these are put together.
+OWN, PARTS = 200, 8
 
 # --- the scenery index as text ------------------------------------------------------------------------------------------------------------
 
@@ -103,40 +106,64 @@ def source_keys(files: DataFrame) -> DataFrame:
     return files.groupBy("source").agg(F.concat_ws(":", F.count("*").cast("string"), F.sum(h.cast("decimal(38,0)")).cast("string"), F.bit_xor(h).cast("string")).alias("key"))
 
 
+def _keys(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, key, part) of the stored sources; the part of those that have a folder each is empty."""
+    if not exists(spark, f"{folder}/keys"):
+        return spark.createDataFrame([], "source string, key string, part string")
+    return spark.read.schema("source string, key string, part string").parquet(f"{folder}/keys").withColumn("part", F.coalesce("part", F.lit("")))
+
+
 def refreshed(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """Brings the stored entries (source, path, size, mtime) in folder up to date with files, and gives (source, what): kept, changed, new or gone.
 
-    Each source is a part of the stored table, with a key of what it was made from. Only sources with another key are written, and parts of
-    sources that are gone are deleted; the others stay as they are. Keys are written after the parts they speak of, so a broken-off run is
-    made good by the next.
+    Each source has a key of what it was made from, and only sources with another key are written; the others stay as they are. As long as
+    sources are few, each is a folder. Beyond that, what a refresh writes is one part of many sources, and the keys say which part of a source
+    holds; parts are put together when they become many, but for the largest one. What no longer holds is deleted. Keys are written after the
+    parts they speak of, so a broken-off run is made good by the next.
     """
-    now = source_keys(files)
-    was = spark.read.parquet(f"{folder}/keys") if exists(spark, f"{folder}/keys") else spark.createDataFrame([], "source string, key string")
-    d = now.join(was.withColumnRenamed("key", "old"), "source", "full")
+    at = f"{scratch(spark, 'told')}/rows"
+    d = source_keys(files).join(_keys(spark, folder).withColumnRenamed("key", "old"), "source", "full")
     what = F.when(F.col("key").isNull(), "gone").when(F.col("old").isNull(), "new").when(F.col("key") == F.col("old"), "kept").otherwise("changed")
-    states = [tuple(r) for r in d.select("source", what.alias("what"), "key").collect()]  # one row per source
-    told = spark.createDataFrame(states, "source string, what string, key string")
-    work = told.where("what in ('new', 'changed')").select("source")
-    if any(w in ("new", "changed") for _, w, _ in states):
-        part = files.join(F.broadcast(work), "source").select("path", "size", "mtime", "source")
-        part.repartition("source").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{folder}/entries")
-    for source, w, _ in states:
-        if w == "gone":
-            delete(spark, f"{folder}/entries/source={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source)}")
-    if any(w != "kept" for _, w, _ in states):
-        told.where("what <> 'gone'").select("source", "key").coalesce(1).write.mode("overwrite").parquet(f"{folder}/keys.new")
+    d.select("source", what.alias("what"), "key", "part").write.parquet(at)
+    told = spark.read.schema("source string, what string, key string, part string").parquet(at)
+    n = {w: k for w, k in told.groupBy("what").count().collect()}
+    held = {p: k for p, k in told.where("what = 'kept'").groupBy("part").count().collect()}  # parts are few
+    work, own = n.get("new", 0) + n.get("changed", 0), held.pop("", 0)
+    if work or "gone" in n:
+        part = "" if own + work <= OWN else f"p{uuid.uuid4().hex}"
+        again = sorted(held, key=held.get)[:-1] if part and len(held) >= PARTS else []
+        anew = F.col("what").isin("new", "changed") | (F.col("what") == "kept") & F.col("part").isin(again)
+        if work:
+            rows = files.join(told.where(anew).select("source"), "source", "left_semi").select("path", "size", "mtime", "source")
+            if part:
+                rows.write.parquet(f"{folder}/shared/part={part}")
+            else:
+                rows.repartition("source").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{folder}/entries")
+        left = told.where((F.col("part") == "") & ((F.col("what") == "gone") | (F.col("what") == "changed") & F.lit(bool(part))))
+        for r in left.select("source").toLocalIterator():  # of the few that have a folder each
+            delete(spark, f"{folder}/entries/source={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(r.source)}")
+        told.where("what <> 'gone'").select("source", "key", F.when(anew, part).otherwise(F.col("part")).alias("part")).write.mode("overwrite").parquet(f"{folder}/keys.new")
         delete(spark, f"{folder}/keys")
         path = spark._jvm.org.apache.hadoop.fs.Path
         path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).rename(path(f"{folder}/keys.new"), path(f"{folder}/keys"))
+        holds = {f"part={p}" for p in {*held, part} - {*again}}
+        for name in names(spark, f"{folder}/shared"):
+            if name not in holds:
+                delete(spark, f"{folder}/shared/{name}")
     return told.select("source", "what")
 
 
 def entries(spark: SparkSession, folder: str) -> DataFrame:
     """The stored entries of all sources."""
-    return spark.read.schema("path string, size long, mtime timestamp_ntz, source string").parquet(f"{folder}/entries")
+    e, fields = spark.createDataFrame([], "path string, size long, mtime timestamp_ntz, source string, part string"), "path string, size long, mtime timestamp_ntz, source string"
+    if exists(spark, f"{folder}/entries"):
+        e = e.unionByName(spark.read.schema(fields).parquet(f"{folder}/entries").withColumn("part", F.lit("")))
+    if exists(spark, f"{folder}/shared"):
+        e = e.unionByName(spark.read.schema(f"{fields}, part string").parquet(f"{folder}/shared"))
+    return e.join(_keys(spark, folder), ["source", "part"], "left_semi").select("path", "size", "mtime", "source")
 
 
 def union_index(spark: SparkSession, folder: str, order: DataFrame) -> DataFrame:
     """(path, source, size): of equal paths the one of the source that comes first (source, sort_key), then by name."""
-    e = entries(spark, folder).join(F.broadcast(order.select("source", "sort_key")), "source")
+    e = entries(spark, folder).join(order.select("source", "sort_key"), "source")
     return first_wins(e, ["path"], ["sort_key", "source"]).select("path", "source", "size")

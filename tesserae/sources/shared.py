@@ -34,3 +34,9 @@ def delete(spark: SparkSession, at: str) -> None:
 def exists(spark: SparkSession, at: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def names(spark: SparkSession, at: str) -> list[str]:
+    """The names of what a folder holds; none if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)] if exists(spark, at) else []

@@ -55,6 +55,37 @@ def test_refreshed(spark, tmp_path):
     assert {r.path: r.source for r in caches.union_index(spark, at, order).collect()} == {**{f"p{i}": "b" for i in range(5)}, "p9": "e"}
 
 
+def test_many_sources_share_folders(spark, tmp_path, monkeypatch):
+    """Folders stay few however many sources there are; only what changed is written, and what is stored is what there is."""
+    monkeypatch.setattr(caches, "OWN", 3, raising=False)
+    monkeypatch.setattr(caches, "PARTS", 3, raising=False)
+    at, there = str(tmp_path / "union"), {}
+
+    def refresh(**sizes):
+        for s, n in sizes.items():
+            there.pop(s, None) if n is None else there.update({s: n})
+        rows = [(s, f"p{i}", n) for s, n in there.items() for i in range(2)]
+        f = spark.createDataFrame(rows, "source string, path string, size long").withColumn("mtime", F.to_timestamp_ntz(F.lit("2025-01-01 00:00:00")))
+        told = dict(map(tuple, caches.refreshed(spark, at, f).collect()))
+        assert sorted((r.source, r.path, r.size) for r in caches.entries(spark, at).collect()) == sorted(rows)
+        folders = {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "union").glob("[es]*/*/*.parquet")}
+        assert len(folders) <= 3 + 4
+        return {s: w for s, w in told.items() if w != "kept"}, folders
+
+    refresh(a=1, b=1)
+    told, one = refresh(**{f"s{i}": i for i in range(40)}, b=2)
+    assert len(told) == 41 and "source=a" in one and "source=b" not in one and len(one) == 2
+    told, two = refresh(s1=70, s2=None, s3=80)
+    assert told == {"s1": "changed", "s2": "gone", "s3": "changed"}
+    assert len(two.keys() - one.keys()) == 1 or "source=s1" in two
+    assert one.items() <= two.items()  # kept ones untouched
+    for i in range(6):
+        refresh(**{f"s{i}": 100 + i, f"t{i}": 1, f"u{i}": 1, f"v{i}": 1})
+    assert refresh()[0] == {}
+    refresh(**{s: None for s in [*there][1:]})
+    assert len(there) == 1 and len(list((tmp_path / "union").glob("shared/*"))) <= 1
+
+
 @pytest.fixture()
 def sources(tmp_path):
     for s in ("one", "two", ".hidden"):
