@@ -367,6 +367,22 @@ def test_short_cut_equals_viterbi():
     assert all((a is None and (b is None or not b.any())) or (a == b).all() for a, b in zip(fast, slow))
 
 
+def test_only_words_around_suspicious_ones_are_decoded(monkeypatch):
+    f, seen = pii.trained(), []
+    inner = f._viterbi
+    monkeypatch.setattr(f, "_viterbi", lambda row, left, right, starts, sizes, *more: (seen.append(int(sizes.sum())), inner(row, left, right, starts, sizes, *more))[1])
+    held = pii.labelled_table(120, seed=9)
+    lines = [["plain", "words"] * 400 + w + ["Other", "ones,"] * 400 for w, _ in held] + [[], ["plain"] * 50]
+    fast = f.decode(lines)
+    assert sum(seen) < 60 * len(lines)
+    monkeypatch.setattr(f, "gain", float("inf"))
+    slow = f.decode(lines)
+    assert sum(y is not None for y in fast) > 60 and all((a is None and b is None) or (a == b).all() for a, b in zip(fast, slow))
+    odd = ["a", "A", "Ab", "aB", "ÄB", "äß", "Ab,", ",ab", "ab:", ":", "at", "AT.", "(at)", "x" * 19, "x" * 20, "f" * 20, "f" * 20 + ",", "µ", "a1", "a@b", "÷", "×", "ñandú!", "日本", "$$$", "key", "API", "", "ſ", "İ"]
+    for w in odd:
+        assert pii.features(pii.stand_in(w)) == pii.features(w) and pii.context(pii.stand_in(w)) == pii.context(w), w
+
+
 def test_pii_table(spark, sf, odd, none):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     text = {r.doc_id: r.text or "" for r in d.collect()}
