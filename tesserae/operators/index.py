@@ -51,17 +51,22 @@ def resolved_near_patches(paths: DataFrame, files: DataFrame, patched: DataFrame
 
 
 def radius_join(points: DataFrame, places: DataFrame, nm: float, lat: str = "lat", lon: str = "lon", p_lat: str = "p_lat", p_lon: str = "p_lon", size: float = 1.0) -> DataFrame:
-    """points joined to the places within nm nautical miles on the flat earth, by degree buckets of `size`.
+    """points joined to all places within nm nautical miles on the flat earth (float steps; longitudes as they are, without wrapping), by buckets.
 
-    Points are written to every bucket their box reaches, places to their own; the exact distance (float) filters the rest.
-    The box is `nm` wide in degrees of latitude on both axes, so towards the poles places east and west of it are not looked at;
-    longitude does not wrap. Both sides are shuffled: Spark takes points for as small as they were before they were written to their buckets, and
-    would broadcast them.
+    Places are written to the bucket of their own, points to every bucket they reach; the exact distance filters the rest. A band of `size`
+    degrees of latitude has buckets as many degrees wide as `size` is at the equator, so that a point reaches as few of them towards the poles.
+    Longitudes lie within 360 degrees of each other. Both sides are shuffled: Spark takes points for as small as they were before they were written
+    to their buckets, and would broadcast them.
     """
-    reach = nm / 60.0
-    span = lambda c: F.sequence(F.floor((F.col(c) - reach) / size).cast("int"), F.ceil((F.col(c) + reach) / size).cast("int"))
-    q = points.withColumn("_a", F.explode(span(lat))).withColumn("_o", F.explode(span(lon)))
-    s = places.withColumns({"_a": F.floor(F.col(p_lat) / size).cast("int"), "_o": F.floor(F.col(p_lon) / size).cast("int")})
+    reach = nm / 60.0 * 1.0001  # more than what float steps may round off
+    double = lambda c: F.col(c).cast("double")
+    whole = lambda x: F.floor(x).cast("int")
+    edge = F.least(F.greatest(F.abs("_a"), F.abs(F.col("_a") + 1)) * size, F.lit(90.0))
+    column = lambda x: whole(x * F.cos(F.radians(edge)) / size)
+    wide = F.least(reach / F.greatest(F.abs(F.cos(F.radians(F.col(lat).cast("float")).cast("float")).cast("double")), F.lit(1e-6)), F.lit(360.0))
+    q = points.withColumn("_a", F.explode(F.sequence(whole((double(lat) - reach) / size), whole((double(lat) + reach) / size))))
+    q = q.withColumn("_o", F.explode(F.sequence(column(double(lon) - wide), column(double(lon) + wide))))
+    s = places.withColumn("_a", whole(double(p_lat) / size)).withColumn("_o", column(double(p_lon)))
     d = geo.flat_nm(lat, lon, p_lat, p_lon)
     return q.hint("merge").join(s, ["_a", "_o"]).withColumn("nm", d).where(F.col("nm") <= F.lit(nm).cast("float")).drop("_a", "_o")
 
@@ -74,9 +79,11 @@ def region_tiles(regions: DataFrame, scenery: DataFrame, nm: float = 45.0, withi
     """
     mid = regions.select(*CELL).distinct().withColumns({"lat": F.col("dsf_lat") + F.lit(0.5), "lon": F.col("dsf_lon") + F.lit(0.5)})
     s = scenery.select(geo.tile_of_chunk("row").alias("row"), geo.tile_of_chunk("col").alias("col"), geo.zoom_of_chunk("chunk_zoom").alias("zoom"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    near = radius_join(mid, s, nm)
-    if within:
-        near = near.where((geo.degree("p_lat") == F.col("dsf_lat")) & (geo.degree("p_lon") == F.col("dsf_lon")))
+    if within:  # no other bucket than the cell holds any
+        own = s.withColumns({"dsf_lat": geo.degree("p_lat"), "dsf_lon": geo.degree("p_lon")})
+        near = mid.hint("merge").join(own, CELL).where(geo.flat_nm("lat", "lon", "p_lat", "p_lon") <= F.lit(nm).cast("float"))
+    else:
+        near = radius_join(mid, s, nm)
     near = near.select(*CELL, "row", "col", "zoom")
     near = near.distinct() if within else near
     bare = regions.select(*CELL).distinct().join(near.select(*CELL).distinct(), CELL, "left_anti")

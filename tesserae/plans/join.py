@@ -112,7 +112,7 @@ def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     "WITH x AS (SELECT 1)"
     + _PLACES
     + """, d AS (SELECT seq, place, CAST((p_lat - lat) * CAST(60 AS FLOAT) AS FLOAT) AS y, CAST(CAST(CAST(p_lon - lon AS FLOAT) * CAST(60 AS FLOAT) AS FLOAT) * CAST(cos(CAST(CAST(radians(CAST(lat AS DOUBLE)) AS FLOAT) AS DOUBLE)) AS FLOAT) AS FLOAT) AS x
-  FROM q JOIN s ON floor(p_lat) BETWEEN floor(lat - 0.75) AND ceil(lat + 0.75) AND floor(p_lon) BETWEEN floor(lon - 0.75) AND ceil(lon + 0.75)), e AS (SELECT seq, place, CAST(sqrt(CAST(CAST(CAST(y * y AS FLOAT) + CAST(x * x AS FLOAT) AS FLOAT) AS DOUBLE)) AS FLOAT) AS nm FROM d)
+  FROM q JOIN s ON floor(p_lat) BETWEEN floor(lat - 0.75) AND ceil(lat + 0.75)), e AS (SELECT seq, place, CAST(sqrt(CAST(CAST(CAST(y * y AS FLOAT) + CAST(x * x AS FLOAT) AS FLOAT) AS DOUBLE)) AS FLOAT) AS nm FROM d)
 SELECT seq, place, round(CAST(nm AS DOUBLE), 3) AS nm FROM e WHERE nm <= 45"""
 )
 def join_radius(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from tesserae import plans, registry  # noqa: F401
+from tesserae.functions import geo
 from tesserae.operators import catalogue, index
 from tesserae.sources import files
 
@@ -34,6 +35,19 @@ def test_radius_join_broadcasts_no_written_out_points(spark):
     assert sorted((r.seq, r.place) for r in d.collect()) == [(i, i) for i in range(30)]
 
 
+def test_radius_join_finds_all_places_towards_the_poles(spark):
+    p = spark.range(400).selectExpr("id AS seq", "CAST(id * 37 % 1800 / 10 - 90 AS FLOAT) AS lat", "CAST(id * 7919 % 3600 / 10 - 180 AS FLOAT) AS lon")
+    s = spark.range(4000).selectExpr("id AS place", "CAST(id * 7727 % 18000 / 100 - 90 AS FLOAT) AS p_lat", "CAST(id * 6151 % 36000 / 100 - 180 AS FLOAT) AS p_lon")
+    ends = [(-1, 90.0, 0.0), (-2, -90.0, 10.0), (-3, 60.0, 0.0), (-4, 89.25, -179.5), (-5, 80.0, 0.0)]
+    p = p.union(spark.createDataFrame(ends, "seq long, lat float, lon float"))
+    s = s.union(spark.createDataFrame([(-1, 90.0, 180.0), (-2, -89.5, -180.0), (-3, 60.0, 1.49), (-4, 89.5, -130.0), (-5, 80.0, -4.25)], "place long, p_lat float, p_lon float"))
+    d = index.radius_join(p, s, 45.0)
+    want = p.crossJoin(s).where(geo.flat_nm("lat", "lon", "p_lat", "p_lon") <= F.lit(45.0).cast("float"))
+    got = sorted((r.seq, r.place) for r in d.collect())
+    assert got == sorted((r.seq, r.place) for r in want.select("seq", "place").collect())
+    assert {(-1, -1), (-2, -2), (-3, -3), (-4, -4), (-5, -5)} <= set(got)
+
+
 @pytest.mark.parametrize("names", [["b", "a", "ab", "aé"], ["same-head-2", "same-head-10", "same-head-1", "same-hea"], ["\U0001f600", "￮", "é", "z", ""]])
 def test_union_of_patches_sorts_no_files(spark, names):
     rows = [(n, f"Earth nav data/{i % 2}/{x}.dsf") for i, n in enumerate(names) for x in "xy"] + [(n, "readme.txt") for n in names] + [("0", "Earth nav data"), ("0", "readme.txt")]
