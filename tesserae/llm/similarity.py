@@ -6,7 +6,8 @@ texts meet over the shingles of their prefixes, however short they are, and a li
 share as many of its prefix as a partner would have can have none, and goes; that is said again of what is left.
 
 Texts that are left are compared with the best connected text of each of their shingles first, which joins most families at once. Only where texts of a
-shingle are not connected after that, the groups they form are compared whole, once for all shingles, dealt out as pairs of chunks.
+shingle are not connected after that, the groups they form over the rarest shingles of their prefixes are compared whole, once for all shingles, dealt out
+as pairs of chunks; large groups whose shingles have few pairs, such as long chains, are compared by these.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import components, cut, in_arrow, parts, small
@@ -92,11 +93,22 @@ def _shared(rows: DataFrame, by: str = "cls") -> DataFrame:
 
 def _viable(rows: DataFrame, similarity: float) -> DataFrame:
     """Rows of the texts that share enough of their prefix: as many as the smallest partner's is longer than it must be."""
-    need = F.greatest(F.lit(1), F.ceil(F.lit(MORE) * F.ceil(F.lit(similarity) * F.col("n") - 1e-9) - 1e-9))
-    few = rows.groupBy("cls", "n").agg(F.count("*").alias("c")).where(F.col("c") < need).select("cls")
+    few = rows.groupBy("cls", "n").agg(F.count("*").alias("c")).where(F.col("c") < _need(similarity)).select("cls")
     return rows.join(small(cut(few)), "cls", "left_anti")
 
 
+def _need(similarity: float) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.lit(MORE) * F.ceil(F.lit(similarity) * F.col("n") - 1e-9) - 1e-9))
+
+
+def _rarest(rows: DataFrame, similarity: float) -> DataFrame:
+    """Of each text's rows the rarest shingles', all but one less than it must share: of the shingles that two texts share enough of, the rarest is
+    among these for both."""
+    text = Window.partitionBy("cls")
+    ranked = rows.withColumn("m", F.count("*").over(Window.partitionBy("h"))).withColumns({"c": F.count("*").over(text), "r": F.row_number().over(text.orderBy("m", "h"))})
+    return ranked.where(F.col("r") <= F.col("c") - _need(similarity) + 1).drop("m", "c", "r")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, chunk: int = CHUNK, rounds: int = ROUNDS) -> DataFrame:
     """Pairs (low, cls) of different texts, named by their xxHash64, that connect exactly what pairs of similar texts connect.
 
@@ -126,13 +138,22 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     open_ = cut(_shared(rows.join(root, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "comp"))
     for _ in range(rounds):  # and which share enough with texts that they are not connected with
         open_ = cut(_shared(_viable(open_, similarity), "comp"))
+    open_ = cut(_shared(_rarest(open_, similarity), "comp"))
     edges = open_.select("cls", F.min("cls").over(Window.partitionBy("h")).alias("b")).distinct()
     blob = components(edges, "cls", "b").withColumnsRenamed({"node": "cls", "root": "key"})
     left = cut(open_.select("cls", "comp").distinct().join(blob, "cls"))
     main = left.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "comp")).alias("x")).select("key", F.col("x.comp").alias("main"))
     left = cut(left.join(main, "key").select("key", "cls", (F.col("comp") == F.col("main")).alias("settled")))
     counts = left.groupBy("key").agg(F.count_if(~F.col("settled")).alias("f"), F.count_if("settled").alias("s")).where("f > 0 and f + s > 1")
-    dealt = _dealt(left.join(small(cut(counts)), "key"), chunk).join(packed, "cls").select("key", "unit", "cls", "settled", "own", "z")
+    # A group of many chunks costs a text for each of its own and each other chunk; if its shingles have fewer pairs than that, these are compared alone.
+    cf, cs = F.ceil(F.col("f") / chunk), F.ceil(F.col("s") / chunk)
+    met = open_.join(blob, "cls").groupBy("key", "h").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum(F.col("m") * (F.col("m") - 1)).alias("met"))
+    counts = cut(counts.join(met, "key").withColumn("sparse", (cf + cs > 2) & (F.col("met") < F.col("f") * (cf + cs) + F.col("s") * cf)).drop("met"))
+    some = open_.join(blob, "cls").join(small(cut(counts.where("sparse").select("key"))), "key", "left_semi").select("h", "cls", "n", "comp")
+    other = some.select("h", F.col("cls").alias("low"), F.col("n").alias("m"), F.col("comp").alias("of"))
+    pairs = cut(some.join(other, "h").where((F.col("low") < F.col("cls")) & (F.col("comp") != F.col("of")) & near).select("low", "cls").distinct())
+    met = _verified(pairs, packed, words, 0, similarity, whole=True).where(F.col("similarity") >= similarity - 1e-9).select("low", "cls")
+    dealt = _dealt(left.join(small(cut(counts.where("not sparse").drop("sparse"))), "key"), chunk).join(packed, "cls").select("key", "unit", "cls", "settled", "own", "z")
     dealt = dealt.repartition(parts(docs.sparkSession), "key", "unit").sortWithinPartitions("key", "unit", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,4 +169,4 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["low", "cls"])
 
-    return links.unionByName(in_arrow(dealt, run, "low long, cls long"))
+    return links.unionByName(met).unionByName(in_arrow(dealt, run, "low long, cls long"))

@@ -95,3 +95,21 @@ def test_similar_odd(spark):
     assert found(spark, []) == {} and found(spark, ["", " \n"]) == {}
     df = spark.createDataFrame([(None, None), (None, "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4"), (1, "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 5"), (1, "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 5")], "doc_id long, text string")
     assert similarity.similar(df).count() == 1
+
+
+def test_long_chain_is_compared_by_pairs(spark, monkeypatch):
+    """Texts that each share half with the next are one group. What is dealt out of it grows with the texts and not with their square, and near copies are found."""
+    r, dealt = random.Random(5), []
+    blocks = [[f"b{i}x{r.randrange(10**6)}" for _ in range(40)] for i in range(301)]
+    texts = [" ".join(blocks[i] + blocks[i + 1]) for i in range(300)]
+    texts += [" ".join([*blocks[i], "new", *blocks[i + 1][1:]]) for i in range(0, 300, 50)]
+
+    def counted(places, chunk, was=similarity._dealt):
+        out = was(places, chunk)
+        dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "_dealt", counted)
+    got = found(spark, texts, chunk=2)
+    assert got == plain(texts) and len(set(got.values())) == 300
+    assert sum(dealt) < 4 * len(texts)
